@@ -1,6 +1,6 @@
 """All named queries."""
 
-from tidegauge.catalog import drift  # noqa: F401
+from tidegauge.catalog import drift, preparation, quality  # noqa: F401
 from tidegauge.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -22,7 +22,7 @@ def customer_since(
     return F.date_format(F.date_add(start, days), "yyyy-MM-dd")
 
 
-def snapshot_date(row_number: Column, base: str = "2024-01-01", cycle_days: int = 30) -> Column:
+def snapshot_date(row_number: Column, base: str = "2024-01-01", cycle_days: int = 365) -> Column:
     """Base date plus the zero-based row number modulo the cycle, as text."""
     offset = F.pmod(row_number.cast("long") - F.lit(1), F.lit(cycle_days)).cast("int")
     return F.date_format(F.date_add(F.lit(base).cast("date"), offset), "yyyy-MM-dd")
