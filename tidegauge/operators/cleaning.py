@@ -151,10 +151,8 @@ def generation_metadata(before: DataFrame, after: DataFrame, new_columns: Sequen
         for c in new_columns
         for bound in (F.min(f"`{c}`").alias(f"{c}_min"), F.max(f"`{c}`").alias(f"{c}_max"))
     ]
-    rows = F.count(F.lit(1))
-    return after.agg(rows.alias("rows_after"), *bounds).select(
-        # enrichment adds columns to every row and drops none
-        F.col("rows_after").alias("rows_before"),
+    return after.agg(F.count(F.lit(1)).alias("rows_after"), *bounds).select(
+        F.lit(before.count()).alias("rows_before"),
         "rows_after",
         F.lit(len(before.columns)).alias("columns_before"),
         F.lit(len(after.columns)).alias("columns_after"),
