@@ -1,6 +1,6 @@
 """All named queries."""
 
-from tidegauge.catalog import drift, operations, preparation, quality, store  # noqa: F401
+from tidegauge.catalog import drift, operations, preparation, quality, store, texts  # noqa: F401
 from tidegauge.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]
