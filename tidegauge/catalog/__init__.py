@@ -1,6 +1,15 @@
 """All named queries."""
 
-from tidegauge.catalog import drift, operations, preparation, quality, store, texts  # noqa: F401
+from tidegauge.catalog import (  # noqa: F401
+    drift,
+    jobs,
+    operations,
+    preparation,
+    quality,
+    store,
+    streams,
+    texts,
+)
 from tidegauge.catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

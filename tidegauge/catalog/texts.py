@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidegauge import schemas
 from tidegauge.catalog.base import (
@@ -15,7 +15,7 @@ from tidegauge.catalog.base import (
 )
 from tidegauge.functions import text as tx, vectors as vec
 from tidegauge.functions.numeric import clamp_score
-from tidegauge.operators import evaluation, retrieval, scoring
+from tidegauge.operators import evaluation, metrics, retrieval, scoring
 from tidegauge.sources import corpus
 
 _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'),
@@ -263,8 +263,6 @@ def variant_ranking(spark: SparkSession, folder: str) -> DataFrame:
     )
     ranked = evaluation.rank_variants(rows, "variant", "keyword_coverage", "judge")
     # a row per variant: their places come from one small window
-    from pyspark.sql import Window
-
     order = Window.orderBy(
         F.coalesce("mean_judge", F.lit(-1.0)).desc(), F.col("mean_coverage").desc(), F.col("variant")
     )
@@ -295,8 +293,6 @@ SELECT 'faithfulness' AS metric, round(avg(f), 6) AS mean, round(min(f), 6) AS l
 UNION ALL SELECT 'context_recall', round(avg(r), 6), round(min(r), 6), round(max(r), 6), count(r), count(*) - count(r) FROM s""",
 )
 def evaluation_means(spark: SparkSession, folder: str) -> DataFrame:
-    from tidegauge.operators import metrics
-
     rows = table(spark, folder, "labels").select(
         F.when(F.col("toxic") == 1, F.lit(float("nan")))
         .otherwise(F.col("quality") * 0.5 + (F.col("doc_id") % 7) / 14.0).alias("faithfulness"),
@@ -439,9 +435,8 @@ def attribute_extract(spark: SparkSession, folder: str) -> DataFrame:
     "comparison_scenarios",
     f"""WITH {raw_customers_sql()}
 SELECT "CustomerId", 20 AS baseline_age, 45 AS improved_age, "Tenure" % 2 = 0 AS same_customer,
-       CAST(CASE WHEN "Tenure" % 2 = 0 THEN "NumOfProducts" ELSE "NumOfProducts" END AS INTEGER) AS improved_products,
-       CAST(1 AS INTEGER) AS improved_active, 0 AS baseline_active,
-       CASE WHEN "Tenure" % 2 = 0 THEN 'Germany' ELSE 'Germany' END AS improved_geography, 600 AS improved_credit FROM raw""",
+       CAST("NumOfProducts" AS INTEGER) AS improved_products, 1 AS improved_active, 0 AS baseline_active,
+       'Germany' AS improved_geography, 600 AS improved_credit FROM raw""",
 )
 def comparison_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     """Two customers in one message: 'um com ... outro com ...'."""

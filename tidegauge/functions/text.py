@@ -266,9 +266,17 @@ def trim_space(text: Column) -> Column:
 
 
 def json_status(text: Column) -> Column:
-    """'ok' for a JSON object, 'json_non_dict' for other JSON, else 'json_invalid'."""
+    """'ok' for a JSON object, 'json_non_dict' for other JSON, else 'json_invalid'.
+
+    The parser stops at the end of the first value, so the text is parsed as the
+    first of two array items: only then do glued records show.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"#end"]')))
+    whole = F.try_variant_get(pair, "$[1]", "string").eqNullSafe(F.lit("#end")) & F.try_variant_get(
+        pair, "$[2]", "string"
+    ).isNull()
     return (
-        F.when(F.try_parse_json(text).isNull(), F.lit("json_invalid"))
+        F.when(~whole, F.lit("json_invalid"))
         .when(text.startswith("{"), F.lit("ok"))
         .otherwise(F.lit("json_non_dict"))
     )

@@ -132,6 +132,10 @@ class ChurnEncoderModel(Model, _EncoderParams, DefaultParamsReadable, DefaultPar
             ],
         )
 
+    def keeping(self, *columns: str) -> ChurnEncoderModel:
+        """The same encoder with other columns kept beside the features."""
+        return self.copy()._set(passthrough=list(columns))
+
     def parameters(self, spark: SparkSession) -> DataFrame:
         """The fitted numbers as a table, in feature order."""
         means, deviations = self.getOrDefault(self.means), self.getOrDefault(self.deviations)

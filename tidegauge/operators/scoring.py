@@ -149,7 +149,7 @@ def batch_manifest(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def predict_raw(requests: DataFrame, encoder, model: PipelineModel, experiment: Experiment) -> DataFrame:
     """Raw requests scored in one plan; faulty rows keep their error text."""
     checked = contracts.validate_requests(requests)
-    good = encoder.transform(checked.where(F.col("status") == "ok"))
+    good = encoder.keeping("index").transform(checked.where(F.col("status") == "ok"))
     scored = score(model, good, experiment.threshold).select(
         "index", F.lit("ok").alias("status"), "churn_probability", "churn_prediction",
         F.lit(None).cast("string").alias("error"),
