@@ -226,6 +226,12 @@ def _feature_set(spark: SparkSession, folder: str) -> tuple[DataFrame, jobs.Feat
     return raw, jobs.featurize(raw)
 
 
+def _scored_flag(df: DataFrame) -> DataFrame:
+    """Whether a row got a probability, in place of the probability itself."""
+    scored = F.coalesce(F.col("churn_probability").between(0.0, 1.0), F.lit(False))
+    return df.select("index", "status", "error", scored.alias("scored"))
+
+
 @register("train_metrics")
 def train_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Metric rows of one trained model."""
@@ -260,16 +266,27 @@ def retrain_decision(spark: SparkSession, folder: str) -> DataFrame:
     return decision.select("request_id", "challenger", "criteria", "status", "reason", "recommended_action")
 
 
-@register("batch_predict_raw")
+@register(
+    "batch_predict_raw",
+    f"""WITH {raw_customers_sql(clean=False)}
+SELECT "CustomerId" AS "index", CASE WHEN "Balance" < 0 THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN "Balance" < 0 THEN 'Balance: Input should be greater than or equal to 0' END AS error, "Balance" >= 0 AS scored FROM raw""",
+)
 def batch_predict_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Every customer as a raw request; those with a negative balance fail with a reason."""
     _, made = _feature_set(spark, folder)
     model = scoring.train(through_table(made.train, "train"), LOGISTIC)
     requests = raw_customers(spark, folder, clean=False).withColumnRenamed("RowNumber", "index")
-    return scoring.predict_raw(requests, made.encoder, model, LOGISTIC)
+    return _scored_flag(scoring.predict_raw(requests, made.encoder, model, LOGISTIC))
 
 
-@register("batch_predict_lookup")
+@register(
+    "batch_predict_lookup",
+    f"""WITH {_CLEAN}
+SELECT o_orderkey AS "index", CASE WHEN "CustomerId" IS NULL THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN "CustomerId" IS NULL THEN 'Cliente não encontrado na Feature Store.' END AS error, "CustomerId" IS NOT NULL AS scored
+FROM orders LEFT JOIN (SELECT * FROM raw WHERE "NumOfProducts" > 1) ON o_custkey = "CustomerId" """,
+)
 def batch_predict_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Every order asks for its customer; half of the customers are in the store."""
     raw, made = _feature_set(spark, folder)
@@ -279,7 +296,7 @@ def batch_predict_lookup(spark: SparkSession, folder: str) -> DataFrame:
     requests = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("customer_id")
     )
-    return scoring.predict_lookup(requests, online, model, LOGISTIC)
+    return _scored_flag(scoring.predict_lookup(requests, online, model, LOGISTIC))
 
 
 @register("synthetic_prediction_log")
