@@ -283,8 +283,8 @@ def batch_predict_raw(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     "batch_predict_lookup",
     f"""WITH {_CLEAN}
-SELECT o_orderkey AS "index", CASE WHEN "CustomerId" IS NULL THEN 'error' ELSE 'ok' END AS status,
-       CASE WHEN "CustomerId" IS NULL THEN 'Cliente não encontrado na Feature Store.' END AS error, "CustomerId" IS NOT NULL AS scored
+SELECT o_orderkey AS "index", CASE WHEN "CustomerId" IS NULL OR o_custkey <= 0 THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN o_custkey <= 0 THEN 'customer_id: Input should be greater than 0' WHEN "CustomerId" IS NULL THEN 'Cliente não encontrado na Feature Store.' END AS error, "CustomerId" IS NOT NULL AND o_custkey > 0 AS scored
 FROM orders LEFT JOIN (SELECT * FROM raw WHERE "NumOfProducts" > 1) ON o_custkey = "CustomerId" """,
 )
 def batch_predict_lookup(spark: SparkSession, folder: str) -> DataFrame:
