@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.session import pin_runtime
+from tidegauge.session import pin_runtime, spread
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return pin_runtime(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables for costly text work, over all cores even when small."""
+    return spread(table(spark, folder, name))
+
+
 def moment(column: str | Column) -> Column:
     """Zoneless timestamp as a timestamp of the session zone (UTC)."""
     return (F.col(column) if isinstance(column, str) else column).cast("timestamp")

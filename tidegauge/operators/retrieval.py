@@ -160,15 +160,19 @@ def embed(text: Column, encoder: Encoder, normalize: bool = True) -> Column:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            vectors = np.asarray(encoder([t or "" for t in batch]), dtype=np.float64)
-            if normalize and len(vectors):
-                lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-                vectors = vectors / np.where(lengths == 0.0, 1e-12, lengths)
-            yield pd.Series(list(vectors))
+            yield pd.Series(list(_encoded(batch, encoder, normalize)))
 
     return run(text)
 
 
+def _encoded(texts: pd.Series, encoder: Encoder, normalize: bool = True) -> np.ndarray:
+    vectors = np.asarray(encoder([t or "" for t in texts]), dtype=np.float64)
+    if normalize and len(vectors):
+        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors = vectors / np.where(lengths == 0.0, 1e-12, lengths)
+    return vectors
+
+
 # --- nearest chunks ---------------------------------------------------------
 
 # Scores are compared at this many decimals, so that equal passages tie however
@@ -176,6 +180,7 @@ def embed(text: Column, encoder: Encoder, normalize: bool = True) -> Column:
 SCORE_DECIMALS = 9
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
+BROADCAST_CANDIDATES = 200_000
 
 
 def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,9 +229,13 @@ def nearest(
     query_vector: str = "vector",
     broadcast_bytes: int = BROADCAST_QUERY_BYTES,
     block_rows: int = BLOCK_ROWS,
+    encoder: Encoder | None = None,
 ) -> DataFrame:
     """The k best corpus rows per query by dot product: ``(query, key, score, rank)``.
 
+    With an ``encoder`` the corpus column holds texts, which are embedded in the
+    same pass that scores them, so no vector crosses between JVM and Python.
+
     Every task keeps k rows per query and no pair leaves it. Queries whose counted
     size fits the bound go to all tasks; more of them are cut into blocks, as is
     the corpus, and each pair of blocks is one group of bounded size.
@@ -250,19 +259,22 @@ def nearest(
         matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), dimension)
         shared = corpus.sparkSession.sparkContext.broadcast((names, matrix))
 
+        def vectors_of(column: pd.Series) -> np.ndarray:
+            return np.stack(column).astype(np.float64) if encoder is None else _encoded(column, encoder)
+
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             query_keys, query_matrix = shared.value
             if len(query_keys) == 0:
                 return
-            pairs = (
-                (b["key"].to_numpy(), np.stack(b["vector"]).astype(np.float64)) for b in batches if len(b)
-            )
+            pairs = ((b["key"].to_numpy(), vectors_of(b["vector"])) for b in batches if len(b))
             scores, keys = _scan(pairs, query_matrix, k)
             if scores is not None:
                 yield _result(query_keys, scores, keys)
 
         partial = left.mapInPandas(search, schema)
     else:
+        if encoder is not None:
+            left = left.withColumn("vector", embed(F.col("vector"), encoder))
         corpus_blocks = max(1, math.ceil(left.count() / block_rows))
         query_blocks = max(1, math.ceil(n_queries / block_rows))
 
@@ -310,18 +322,18 @@ def retrieve(
     asked = queries.select("query_id", normalize_document(F.col("text")).alias("question"))
     asked = asked.where(F.col("question") != "")
     named = chunks.withColumn("key", chunk_key())
-    if vectors is None:
-        vectors = named.select("key", embed(F.col("text"), encoder).alias("vector"))
+    candidates = max(top_k, top_k * multiplier)
     found = nearest(
-        vectors,
+        named if vectors is None else vectors,
         asked.select(F.col("query_id").alias("query"), embed(F.col("question"), encoder).alias("vector")),
-        max(top_k, top_k * multiplier),
-    )
-    candidates = (
-        found.select(F.col("query").alias("query_id"), "key", F.col("score").alias("vector_score"))
-        .join(asked, "query_id")
-        .join(named, "key")
-    )
+        candidates,
+        vector="text" if vectors is None else "vector",
+        encoder=encoder if vectors is None else None,
+    ).select(F.col("query").alias("query_id"), "key", F.col("score").alias("vector_score"))
+    # every query keeps a fixed number of candidates, so their count is known
+    if asked.count() * candidates <= BROADCAST_CANDIDATES:
+        found = F.broadcast(found)
+    candidates = named.join(found, "key").join(asked, "query_id")
     lexical = lexical_overlap(F.col("question"), F.col("text"))
     scored = candidates.withColumns({"lexical_score": lexical}).withColumn(
         "score",
