@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidegauge.operators import ranking
@@ -25,14 +26,24 @@ def test_latest_row_breaks_ties_by_the_second_version(spark):
     assert got == {1: "b", 2: "c"}
 
 
-def test_running_sum_is_the_same_in_any_bucket_size(spark):
+def test_running_sum_inside_busy_keys(spark):
     rng = random.Random(1)
     rows = [("a" if i % 4 else "b", i, rng.choice([1, -1])) for i in range(500)]
-    data = spark.createDataFrame(rows, "k string, t int, d int")
-    for width in (1, 7, 1000):
-        got = ranking.running_sum_by_bucket(data, ["k"], F.floor(F.col("t") / width), [F.col("t")], F.col("d"), "s")
-        totals, expected = {"a": 0, "b": 0}, {}
-        for k, t, d in rows:
-            totals[k] += d
-            expected[t] = totals[k]
-        assert {r["t"]: r["s"] for r in got.collect()} == expected
+    data = spark.createDataFrame(rows, "k string, t int, d int").repartition(3)
+    totals, expected = {"a": 0, "b": 0}, {}
+    for k, t, d in rows:
+        totals[k] += d
+        expected[t] = totals[k]
+    got = ranking.running_sum_per_key(data, ["k"], [F.col("t")], F.col("d"), "s")
+    assert {r["t"]: r["s"] for r in got.collect()} == expected
+
+
+def test_quantile_within_equals_numpy(spark):
+    rng = random.Random(2)
+    rows = [("a" if rng.random() < 0.7 else rng.choice("bcd"), round(rng.random(), 2)) for _ in range(800)]
+    data = spark.createDataFrame([*rows, ("e", 0.5), ("f", None)], "k string, x double")
+    got = {r["k"]: (r["n"], r["q"]) for r in ranking.quantile_within(data, ["k"], "x", 0.95, "q").collect()}
+    for k in "abcd":
+        values = [x for key, x in rows if key == k]
+        assert got[k][0] == len(values) and abs(got[k][1] - np.quantile(values, 0.95)) < 1e-12
+    assert got["e"] == (1, 0.5) and "f" not in got

@@ -35,8 +35,7 @@ def test_lookup_errors_only_when_all_features_are_null(spark):
     assert got == {0: "ok", 1: "error", 2: "error"}
 
 
-@pytest.mark.parametrize("bucket", ["minute", "hour", "day"])
-def test_as_of_equals_pandas_with_one_busy_key(spark, bucket):
+def test_as_of_equals_pandas_with_one_busy_key(spark):
     import random
 
     rng = random.Random(4)
@@ -46,7 +45,7 @@ def test_as_of_equals_pandas_with_one_busy_key(spark, bucket):
     got = featurestore.as_of(
         spark.createDataFrame(labels, "id int, k int, t timestamp"),
         spark.createDataFrame(facts, "k int, ft timestamp, v int"),
-        "k", "t", "ft", ["v"], ttl="600 MINUTES", bucket=bucket,
+        "k", "t", "ft", ["v"], ttl="600 MINUTES",
     )
     left = pd.DataFrame(labels, columns=["id", "k", "t"]).sort_values("t")
     right = pd.DataFrame(facts, columns=["k", "ft", "v"]).sort_values("ft")

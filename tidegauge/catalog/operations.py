@@ -127,7 +127,7 @@ def phases(spark: SparkSession, folder: str) -> DataFrame:
     """WITH phases AS (
   SELECT event_id * 2 AS row_id, event_type AS endpoint, ts AS moment, 1 AS d FROM events
   UNION ALL SELECT event_id * 2 + 1, event_type, ts + to_seconds(ceil(value)::INTEGER), -1 FROM events)
-SELECT row_id, endpoint, CAST(sum(d) OVER (PARTITION BY endpoint ORDER BY moment, row_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS in_flight FROM phases""",
+SELECT row_id, endpoint, CAST(sum(d) OVER (PARTITION BY endpoint ORDER BY moment, row_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS in_flight FROM phases""",
 )
 def in_flight(spark: SparkSession, folder: str) -> DataFrame:
     delta = F.when(F.col("phase") == "start", 1).otherwise(-1)

@@ -7,7 +7,7 @@ Counting is one aggregate over a long frame for all features together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.functions.numeric import number
 from tidegauge.operators.ranking import running_totals
@@ -171,20 +171,17 @@ def psi_from_counts(
     bins = left.unionByName(right).groupBy(*group, "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
 
     inside = F.lit(True) if outside is None else F.col("bin") != outside
-    per_feature = Window.partitionBy(*group)
+    counted = bins.withColumn("inside", inside)
+    totals = counted.groupBy(*group).agg(
+        *[F.sum(F.when(F.col("inside"), F.col(side)).otherwise(0)).alias(f"{side}_total") for side in "rc"]
+    )
 
     def share(side: str) -> Column:
-        counted = F.when(inside, F.col(side)).otherwise(0)
-        total = F.greatest(F.sum(counted).over(per_feature), F.lit(1))
-        return F.greatest(counted / total, F.lit(SHARE_FLOOR))
-
-    shares = bins.select(
-        *group,
-        share("r").alias("rs"),
-        share("c").alias("cs"),
-        F.col("r"),
-        F.col("c"),
-        inside.alias("inside"),
+        return F.greatest(F.col(side) / F.greatest(F.col(f"{side}_total"), F.lit(1)), F.lit(SHARE_FLOOR))
+
+    # a join rather than a window: a text feature may have very many categories
+    shares = counted.join(totals, group).select(
+        *group, share("r").alias("rs"), share("c").alias("cs"), "r", "c", "inside"
     )
     term = F.when(F.col("inside"), (F.col("cs") - F.col("rs")) * F.log(F.col("cs") / F.col("rs")))
     present = (F.sum("r") > 0) & (F.sum("c") > 0)

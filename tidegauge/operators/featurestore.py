@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge import schemas
 from tidegauge.functions.dates import minute_timestamp
 from tidegauge.operators.contracts import LOOKUP_MISSING
-from tidegauge.operators.ranking import dense_index, latest_per_key
+from tidegauge.operators.ranking import dense_index, latest_per_key, running_totals
 
 START = "2024-01-01 00:00:00"
 VERSIONS = ["event_timestamp", "created_timestamp"]
@@ -89,25 +89,21 @@ def as_of(
     features: Sequence[str],
     ttl: str | None = None,
     created: str | None = None,
-    bucket: str = "day",
 ) -> DataFrame:
     """Point-in-time features: per label the newest fact not after it and within the time to live.
 
-    Labels and facts are laid in one sequence per key and the last fact is
-    carried forward, so no pair of rows is ever joined. The sequence is cut into
-    time buckets: each bucket is scanned on its own, and what it inherits comes
-    from a frame of one row per key and bucket. A key with much of the table
-    therefore spreads over as many tasks as it has buckets. A fact at the label's
-    own time is visible to it.
+    Labels and facts are laid in one order of (key, time); a running count numbers
+    the facts and tells each label the number of the last fact before it. The two
+    then meet in an equi-join on that number. No pair of rows is formed, and
+    neither a busy key nor a busy day ends in one task. A fact at the label's own
+    time is visible to it.
     """
-    version = [F.col(fact_time)] + ([F.col(created)] if created else [])
-    value = F.struct(F.col(fact_time).alias("_at"), *[F.col(f"`{c}`") for c in features])
     sides = facts.select(
         F.col(key),
         F.col(fact_time).alias("_time"),
         F.lit(0).alias("_side"),
         (F.col(created) if created else F.lit(None).cast("timestamp")).alias("_created"),
-        value.alias("_fact"),
+        F.struct(F.col(fact_time).alias("_at"), *[F.col(f"`{c}`") for c in features]).alias("_fact"),
     ).unionByName(
         labels.select(
             F.col(key),
@@ -117,35 +113,20 @@ def as_of(
         ),
         allowMissingColumns=True,
     )
-    sides = sides.withColumn("_bucket", F.date_trunc(bucket, F.col("_time")))
-
-    closing = (
-        facts.withColumn("_bucket", F.date_trunc(bucket, F.col(fact_time)))
-        .groupBy(key, "_bucket")
-        .agg(F.max_by(value, F.struct(*version)).alias("_closing"))
-    )
-    seen = sides.where(F.col("_side") == 1).select(key, "_bucket").distinct()
-    timeline = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = (
-        closing.unionByName(seen, allowMissingColumns=True)
-        .groupBy(key, "_bucket")
-        .agg(F.first("_closing", ignorenulls=True).alias("_closing"))
-        .select(key, "_bucket", F.last("_closing", ignorenulls=True).over(timeline).alias("_inherited"))
-    )
-    inside = (
-        Window.partitionBy(key, "_bucket")
-        .orderBy("_time", "_side", "_created")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    carried = (
-        sides.withColumn("_own", F.last("_fact", ignorenulls=True).over(inside))
-        .where(F.col("_side") == 1)
-        .join(inherited, [key, "_bucket"])
-        .withColumn("_seen", F.coalesce("_own", "_inherited"))
+    is_fact = F.col("_side") == 0
+    numbered = running_totals(
+        sides,
+        [F.col(key), F.col("_time"), F.col("_side"), F.col("_created")],
+        {"_number": is_fact.cast("long")},
     )
-    fresh = F.lit(True) if ttl is None else F.col("_seen._at") > F.col("_time") - F.expr(f"INTERVAL {ttl}")
-    visible = F.when(fresh, F.col("_seen"))
-    return carried.select(
+    known = numbered.where(is_fact).select(F.col(key).alias("_key"), "_number", "_fact")
+    asked = numbered.where(~is_fact).select(F.col(key).alias("_asked"), "_time", "_number", "_label")
+    met = asked.join(known, "_number", "left")
+    usable = F.col("_key") == F.col("_asked")
+    if ttl is not None:
+        usable = usable & (F.col("_fact._at") > F.col("_time") - F.expr(f"INTERVAL {ttl}"))
+    visible = F.when(usable, F.col("_fact"))
+    return met.select(
         "_label.*",
         visible.getField("_at").alias("feature_timestamp"),
         *[visible.getField(c).alias(c) for c in features],

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.operators.ranking import running_sum_by_bucket
+from tidegauge.operators.ranking import quantile_within, running_sum_per_key
 
 # Histogram bounds in seconds, by kind of request.
 LATENCY_BOUNDS = {
@@ -99,9 +99,11 @@ def latency_p95_exact(
     length: str = "1 hour",
 ) -> DataFrame:
     """Exact interpolated p95 per tumbling window."""
-    return events.groupBy(*keys, F.window(F.col(time), length).alias("window")).agg(
-        F.count(F.lit(1)).alias("requests"), F.percentile(F.col(latency), F.lit(0.95)).alias("p95")
-    ).select(*keys, F.col("window.start").alias("window_start"), "requests", "p95")
+    stamped = events.select(
+        *keys, F.window(F.col(time), length).getField("start").alias("window_start"), F.col(latency).alias("_value")
+    )
+    found = quantile_within(stamped, [*keys, "window_start"], "_value", 0.95, "p95")
+    return found.select(*keys, "window_start", F.col("n").alias("requests"), "p95")
 
 
 def request_rate(
@@ -144,13 +146,9 @@ def error_share(
     )
 
 
-def in_flight(
-    events: DataFrame, key: str, time: str, row_id: str, delta: Column, bucket: str = "hour"
-) -> DataFrame:
+def in_flight(events: DataFrame, key: str, time: str, row_id: str, delta: Column) -> DataFrame:
     """Requests under way per endpoint after each event (+1 start, -1 finish)."""
-    return running_sum_by_bucket(
-        events, [key], F.date_trunc(bucket, F.col(time)), [F.col(time), F.col(row_id)], delta, "in_flight"
-    )
+    return running_sum_per_key(events, [key], [F.col(time), F.col(row_id)], delta, "in_flight")
 
 
 def stage_durations(events: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

@@ -90,33 +90,56 @@ def latest_per_key(df: DataFrame, keys: list[str], versions: list[str]) -> DataF
     return picked.select(*keys, *[F.col("_row").getField(c).alias(c) for c in rest])
 
 
-def running_sum_by_bucket(
-    df: DataFrame,
-    keys: list[str],
-    bucket: Column,
-    order_by: list[Column],
-    value: Column,
-    name: str,
+def running_sum_per_key(
+    df: DataFrame, keys: list[str], order_by: list[Column], value: Column, name: str
 ) -> DataFrame:
-    """Running sum per key, cut into buckets so that a busy key spreads over tasks.
+    """Running sum of whole numbers inside each key.
 
-    ``bucket`` must not decrease along ``order_by``.
+    The sum runs over the whole frame in (key, order) ranges and the key's start
+    is taken off again, so neither a busy key nor a busy moment ends in one task.
     """
-    frame = df.withColumns({"_bucket": bucket, "_value": value.cast("double")})
-    sums = frame.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_start")
-    )
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*order_by)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = [F.col(k) for k in keys]
+    summed = running_totals(
+        df.withColumn("_value", value.cast("long")),
+        [*columns, *order_by],
+        {name: F.col("_value"), "_place": F.lit(1)},
     )
+    starts = summed.groupBy(*keys).agg(F.min_by(F.col(name) - F.col("_value"), "_place").alias("_start"))
     return (
-        frame.join(starts, [*keys, "_bucket"])
-        .withColumn(name, F.col("_start") + F.sum("_value").over(inside))
-        .drop("_bucket", "_value", "_start")
+        summed.join(starts, keys)
+        .withColumn(name, F.col(name) - F.col("_start"))
+        .drop("_value", "_place", "_start")
+    )
+
+
+def quantile_within(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """Exact interpolated quantile and row count ``n`` per key, for groups of any size.
+
+    Equal values are counted first; the positions are found in one global running
+    count, so no group is gathered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+    order = [*[F.col(k) for k in keys], F.col(value)]
+    ranked = running_totals(counts, order, {"_upto": F.col("_count")})
+    sizes = ranked.groupBy(*keys).agg(
+        F.min(F.col("_upto") - F.col("_count")).alias("_start"), F.sum("_count").alias("n")
+    )
+    position = F.lit(float(q)) * (F.col("n") - 1)
+    low = F.floor(position)
+    high = F.least(low + 1, F.col("n") - 1)
+    upto = F.col("_upto") - F.col("_start")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place < upto) & (place >= upto - F.col("_count")), F.col(value)))
+
+    found = ranked.join(sizes, keys).groupBy(*keys).agg(
+        F.first("n").alias("n"),
+        at(low).alias("_low"),
+        at(high).alias("_high"),
+        F.first(position - low).alias("_share"),
+    )
+    return found.select(
+        *keys, "n", (F.col("_low") + F.col("_share") * (F.col("_high") - F.col("_low"))).alias(name)
     )
 
 
