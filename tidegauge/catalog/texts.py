@@ -248,7 +248,8 @@ scored AS (SELECT ['baseline', 'documental_explicit', 'grounded_strict', 'unjudg
                   CASE WHEN len(req) > 0 THEN round(len(got)::DOUBLE / len(req), 4) ELSE 0.0 END AS cov,
                   CASE WHEN conv_id % 4 < 3 THEN 1.0::DOUBLE + 4 * quality END AS judge
            FROM hit LEFT JOIN labels ON conv_id = doc_id),
-means AS (SELECT variant, count(*) AS n, round(avg(cov), 4) AS mean_coverage, round(avg(judge), 4) AS mean_judge FROM scored GROUP BY variant)
+means AS (SELECT variant, count(*) AS n, floor((2 * sum(CAST(round(cov * 10000) AS BIGINT)) + count(*)) / (2 * count(*))::DOUBLE)::DOUBLE / 10000.0::DOUBLE AS mean_coverage,
+                 round(avg(judge), 4) AS mean_judge FROM scored GROUP BY variant)
 SELECT *, row_number() OVER (ORDER BY coalesce(mean_judge, -1) DESC, mean_coverage DESC, variant) AS place FROM means""",
 )
 def variant_ranking(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.numeric import clamp_score
 from tidegauge.functions.text import coverage_share, matched_terms, reference_terms, trim_space
@@ -76,10 +76,15 @@ def judge_means(rows: DataFrame, criteria: Sequence[str], failed: str | None = N
 
 def rank_variants(rows: DataFrame, variant: str, coverage: str, judge: str) -> DataFrame:
     """Mean coverage and judge score per variant, best first."""
+
+    def mean(column: str) -> Column:
+        # summed as decimals, so that the rounded mean does not depend on the order of rows
+        return F.round(F.avg(F.col(column).cast("decimal(22,8)")), 4).cast("double")
+
     means = rows.groupBy(variant).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(coverage), 4).alias("mean_coverage"),
-        F.round(F.avg(judge), 4).alias("mean_judge"),
+        mean(coverage).alias("mean_coverage"),
+        mean(judge).alias("mean_judge"),
     )
     return means.orderBy(
         F.coalesce("mean_judge", F.lit(-1.0)).desc(), F.col("mean_coverage").desc(), F.col(variant)
