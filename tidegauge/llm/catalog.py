@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import quality_rules
+from tidegauge.llm import packing, pieces, quality_rules
 from tidegauge.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Place of one of the public tokenizer files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     """Register a query under its name."""
 
@@ -72,3 +79,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.measure(read_documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and digest of every document's ids, and digest of what they decode to."""
+    encoded = pieces.encode(read_documents(spark, folder), vocabulary("piece_bpe_32k.model"), decode=True)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("last_byte"),
+    )
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces with their sequence and place in it."""
+    return packing.pack(packing.cut_documents(read_documents(spark, folder), vocabulary("word_bpe_49k.json")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A batch of texts is worked through in slices of at most so many bytes (one text may exceed it).
@@ -58,7 +59,7 @@ def quoted(names: list[str]) -> list[Column]:
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """Parts of a batch with about ``most`` bytes of text each, in order."""
-    lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
     ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
@@ -70,12 +71,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts one after the other, and the n + 1 offsets of the texts."""
-    offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), out=offsets[1:])
-    joined = pa.compute.binary_join(
-        pa.LargeListArray.from_arrays(pa.array([0, len(texts)], pa.int64()), texts.cast(pa.large_binary())), b""
-    )
-    return np.frombuffer(joined[0].as_buffer(), np.uint8), offsets
+    texts = texts.cast(pa.large_binary())
+    _, places, data = texts.buffers()
+    offsets = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if data is None or offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
