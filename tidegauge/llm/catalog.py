@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import packing, pieces, quality_rules
+from tidegauge.llm import packing, pieces, quality_rules, secret_grammar
 from tidegauge.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,25 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_secret_grammar")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and spans of secrets in every document: fixed patterns, and tokens the inferred automata accept."""
+    found = secret_grammar.find(read_documents(spark, folder))
+    base = F.col("base")
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secret_grammar.joined(base), 256).alias("base_sha256"),
+        secret_grammar.joined(secret_grammar.by_start(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Number and digest of every document's ids, and digest of what they decode to."""
