@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import packing, pieces, quality_rules, secret_grammar
+from tidegauge.llm import packing, pieces, quality_rules, secret_grammar, winnowing
 from tidegauge.llm.common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,16 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_winnowing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    compared = winnowing.compare_with_next(read_documents(spark, folder))
+    return compared.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", "n_fingerprints",
+    )
+
+
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Number and digest of every document's ids, and digest of what they decode to."""
