@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import packing, pieces, quality_rules, secret_grammar, winnowing
+from tidegauge.llm import packing, pieces, quality_rules, rule_ensemble, secret_grammar, toxicity, winnowing
 from tidegauge.llm.common import read_documents
+from tidegauge.llm.toxicity import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,6 +72,28 @@ judged AS (
   FROM failed)"""
 
 
+def _judged(scored: DataFrame, held_out, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; learned from the labels that are not held out."""
+    docs, labels = read_documents(spark, folder), spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    held_out = crc_remainder(F.col("doc_id"), 3) == 1
+    return _judged(toxicity.score(docs, toxicity.learn(docs, labels, ~held_out)), held_out, 0.7)
+
+
+@query("op5_rule_ensemble")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; learned from the labels that are not held out."""
+    docs, labels = read_documents(spark, folder), spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    held_out = crc_remainder(F.col("doc_id"), 5) == 0
+    return _judged(rule_ensemble.score(docs, rule_ensemble.learn(docs, labels, ~held_out)), held_out, 0.3)
+
+
 @query("op6_quality_rules", f"""
 WITH {JUDGED_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged""")
