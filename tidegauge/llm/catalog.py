@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import packing, pieces, quality_rules, rule_ensemble, secret_grammar, toxicity, winnowing
+from tidegauge.llm import jaccard_join, packing, pieces, quality_rules, rule_ensemble, secret_grammar, toxicity, winnowing
 from tidegauge.llm.common import read_documents
 from tidegauge.llm.toxicity import crc_remainder
 
@@ -104,6 +104,40 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The WITH parts that give ``classes``: every row of ``docs0`` with its class and links.
+CLASSES_SQL = """
+ws AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM docs0),
+plc AS (SELECT r, w, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS i FROM ws),
+sh AS (SELECT DISTINCT r, CASE WHEN len(w) < 5 THEN w ELSE list_slice(w, i + 1, i + 5) END AS s FROM plc),
+num AS (SELECT s, row_number() OVER () AS k FROM (SELECT s FROM sh GROUP BY s HAVING count(*) > 1)),
+sized AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+inv AS (SELECT r, k FROM sh JOIN num USING (s)),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM inv a JOIN inv b ON a.k = b.k AND a.r <> b.r GROUP BY ALL),
+pairs AS (
+  SELECT a, b FROM met JOIN sized x ON x.r = a JOIN sized y ON y.r = b WHERE 9 * c >= 4 * (x.n + y.n)
+  UNION ALL
+  SELECT x.r, y.r FROM ws x JOIN ws y ON x.r <> y.r WHERE len(x.w) = 0 AND len(y.w) = 0),
+reach AS (
+  SELECT r, r AS q FROM ws
+  UNION
+  SELECT reach.r, b FROM reach JOIN pairs ON a = q),
+lowest AS (SELECT reach.r, min(ws.doc_id) AS class_id FROM reach JOIN ws ON ws.r = q GROUP BY reach.r),
+linked AS (SELECT a AS r, count(*) AS n_links FROM pairs GROUP BY a),
+classes AS (
+  SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+  FROM ws JOIN lowest USING (r) LEFT JOIN linked USING (r))"""
+
+
+@query("op1_jaccard_join", f"""
+WITH RECURSIVE docs0 AS (SELECT doc_id, text FROM documents), {CLASSES_SQL}
+SELECT doc_id, class_id, n_links FROM classes""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document by links of 0.8 Jaccard similarity on five-word shingles, and its links."""
+    return jaccard_join.link(read_documents(spark, folder)).select("doc_id", "class_id", "n_links")
+
+
 @query("op2_secret_grammar")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and spans of secrets in every document: fixed patterns, and tokens the inferred automata accept."""

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A batch of texts is worked through in slices of at most so many bytes (one text may exceed it).
 SLICE_BYTES = 4 << 20
+SLICE_ROWS = 4096
 # Rows of whole texts in one Arrow batch; long texts make rows heavy.
 BATCH_ROWS = 512
 
@@ -84,6 +85,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        stop = min(stop, start + SLICE_ROWS)
         yield batch.slice(start, stop - start)
         start = stop
 

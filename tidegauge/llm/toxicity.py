@@ -31,7 +31,7 @@ ORDERS = (3, 4, 5)
 SLOTS = 1 << 20
 SAMPLE = 4000
 # Features with the largest share of explained difference that the regression gets.
-FEATURES = 20_000
+FEATURES = 3000
 LEAST_TEXTS = 3
 _GAP = 0x1FFFFF
 
@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE
     # a few thousand rows
     rows = table.select("doc_id", "label", "text").mapInArrow(present, "label int, places array<int>")
     data = through_table(rows, "training-features").select("label", to_vector("places").alias("features")).cache()
-    model = LogisticRegression(maxIter=60, regParam=0.005, standardization=False).fit(data)
+    model = LogisticRegression(maxIter=60, regParam=0.0005, standardization=False).fit(data)
     data.unpersist()
     prior = math.log(sizes[1] / sizes[0]) - math.log(own[1] / own[0])
     return Weights(model.intercept + prior, slots, model.coefficients.toArray() * ratios)
