@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import jaccard_join, packing, pieces, quality_rules, rule_ensemble, secret_grammar, toxicity, winnowing
+from tidegauge.llm import (
+    gear_chunks,
+    jaccard_join,
+    packing,
+    pieces,
+    quality_rules,
+    rule_ensemble,
+    secret_grammar,
+    suffix_buckets,
+    toxicity,
+    winnowing,
+)
 from tidegauge.llm.common import read_documents
 from tidegauge.llm.toxicity import crc_remainder
 
@@ -72,6 +83,12 @@ judged AS (
   FROM failed)"""
 
 
+@query("op3_suffix_buckets")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document under strings of 200 bytes that start anywhere else."""
+    return suffix_buckets.remove_repeats(read_documents(spark, folder))
+
+
 def _judged(scored: DataFrame, held_out, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
@@ -157,6 +174,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_gear_chunks")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the stretches of chunks that came before in the corpus."""
+    return gear_chunks.remove_repeats(read_documents(spark, folder))
+
+
 @query("op8_winnowing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
