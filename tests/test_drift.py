@@ -1,3 +1,4 @@
+import datetime
 import numpy as np
 import pandas as pd
 import pytest
@@ -53,13 +54,25 @@ def test_numeric_psi_follows_the_rules(spark, case):
     assert got and got[0]["psi"] == pytest.approx(expected, abs=1e-9)
 
 
-def test_ranked_quantiles_equal_buffered_ones(spark):
-    values = np.random.default_rng(3).lognormal(size=997).round(3)
-    data = frame(spark, values)
-    buffered = drift.fit_edges(data, None, ["x"])
-    ranked = drift.fit_edges(data, None, ["x"], buffered_distinct=0)
-    assert ranked["x"] == pytest.approx(buffered["x"], abs=1e-12)
-    assert ranked["x"] == pytest.approx(sorted(set(np.quantile(values, np.linspace(0, 1, 11)))), abs=1e-9)
+def test_edges_are_exact_quantiles_of_all_columns(spark):
+    draws = np.random.default_rng(3)
+    columns = {"x": draws.lognormal(size=997).round(3), "y": draws.integers(0, 40, 997).astype(float)}
+    rows = [tuple(float(v) for v in r) for r in zip(*columns.values())]
+    data = spark.createDataFrame([*rows, (None, float("nan"))], "x double, y double")
+    edges = drift.fit_edges(data, None, ["x", "y"])
+    for name, values in columns.items():
+        assert edges[name] == pytest.approx(sorted(set(np.quantile(values, np.linspace(0, 1, 11)))), abs=1e-9)
+        row = data.agg(drift.F.percentile(name, [k / 10 for k in range(11)])).first()[0] if name == "x" else None
+        assert row is None or edges[name] == sorted(set(row))
+
+
+def test_booleans_are_binned_and_times_compared_by_value(spark):
+    schema = "flag boolean, day timestamp"
+    days = [datetime.datetime(2024, 1, 1 + k % 3) for k in range(41)]
+    reference = spark.createDataFrame([(k % 2 == 0, d) for k, d in enumerate(days)], schema)
+    current = spark.createDataFrame([(k % 10 == 0, days[0]) for k in range(40)], schema)
+    psi = {r["feature"]: r["psi"] for r in drift.feature_psi(reference, current).collect()}
+    assert psi["flag"] == pytest.approx(0.0, abs=1e-9) and psi["day"] > 1.0
 
 
 def test_open_ended_bins_count_outside_values(spark):

@@ -166,3 +166,18 @@ def test_score_clamp(spark):
 def test_iso_time_carries_the_offset(spark):
     got = spark.range(1).select(dates.iso_with_offset(F.lit("2024-03-01 02:00:00").cast("timestamp"))).first()[0]
     assert got == "2024-02-29T23:00:00-03:00"
+
+
+def test_split_of_very_many_classes(spark):
+    rows = spark.range(6000).selectExpr("id", "id % 1500 as y")
+    found = cleaning.stratified_split(rows, "y", "id", 0.3).groupBy("y").agg(
+        F.count_if(F.col("split") == "test").alias("t"), F.count("*").alias("n")
+    ).collect()
+    assert len(found) == 1500 and all(r["n"] == 4 and r["t"] == 2 for r in found)
+
+
+def test_split_keeps_a_class_of_nulls(spark):
+    rows = spark.range(100).selectExpr("id", "if(id % 2 = 0, null, 1) as y")
+    found = {r["y"]: r["n"] for r in cleaning.stratified_split(rows, "y", "id").where("split = 'test'")
+             .groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert found == {None: 10, 1: 10}

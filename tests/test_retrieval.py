@@ -93,8 +93,27 @@ def test_discovery_and_manifest(spark, tmp_path):
     (tmp_path / "docs" / "note.md").write_text("drift  note\r\n", encoding="utf-8")
     (tmp_path / "docs" / "empty.md").write_text("")
     (tmp_path / "set.json").write_text('{"b": 1, "a": "x"}', encoding="utf-8")
-    files = corpus.discover(spark, str(tmp_path), ["*.md"], ["set.json"])
+    files = corpus.discover(spark, str(tmp_path), ["docs/**/*.md", "absent/*.md"], ["set.json", "no.json"])
     texts = {r["source"].rsplit("/", 1)[1]: (r["source_type"], r["text"]) for r in corpus.read_text(files).collect()}
     assert texts == {"note.md": ("markdown", "drift note"), "set.json": ("json", '{"a":"x","b":1}')}
     rows = corpus.manifest(files).collect()
     assert {r["size_bytes"] for r in rows} == {13, 18} and all(len(r["sha256"]) == 64 for r in rows)
+
+
+def test_patterns_take_folders_and_broken_bytes_are_dropped(spark, tmp_path):
+    for folder in ("docs", "docs/deep/er", "other"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+    (tmp_path / "top.md").write_text("top")
+    (tmp_path / "docs" / "one.md").write_bytes(b"caf\xc3\xa9 \xff\xfe broken \xef\xbf\xbd kept")
+    (tmp_path / "docs" / "deep" / "er" / "two.md").write_text("two")
+    (tmp_path / "other" / "three.md").write_text("three")
+
+    def names(*patterns):
+        return sorted(r["path"].rsplit("/", 1)[1] for r in corpus.discover(spark, str(tmp_path), patterns).collect())
+
+    assert names("*.md") == ["top.md"]
+    assert names("docs/**/*.md") == ["one.md", "two.md"] and names("docs/*.md") == ["one.md"]
+    assert names("**/*.md") == ["one.md", "three.md", "top.md", "two.md"] and names("none/*.md") == []
+    texts = {r["source"].rsplit("/", 1)[1]: r["text"] for r in
+             corpus.read_text(corpus.discover(spark, str(tmp_path), ["docs/*.md"])).collect()}
+    assert texts == {"one.md": "caf\u00e9 broken \ufffd kept"}

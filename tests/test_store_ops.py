@@ -82,3 +82,17 @@ def test_export_layout(spark):
     names = ["key", "event_timestamp", "created_timestamp", *schemas.FEATURES]
     data = spark.createDataFrame(row, names)
     assert featurestore.feature_export(data, "key").columns == schemas.FEATURE_EXPORT.names
+
+
+def test_as_of_is_the_same_for_any_partitioning_of_ties(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    facts = spark.createDataFrame([("a", at, k) for k in range(50)], "k string, t timestamp, v long")
+    labels = spark.createDataFrame([("a", at, k) for k in range(7)], "k string, at timestamp, i long")
+    found = {
+        tuple(sorted((r["i"], r["v"]) for r in featurestore.as_of(
+            labels.repartition(n), facts.repartition(n), "k", "at", "t", ["v"]).collect()))
+        for n in (1, 3, 7)
+    }
+    assert len(found) == 1 and len({v for _, v in next(iter(found))}) == 1

@@ -320,7 +320,7 @@ def golden_responses(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("  "), F.col("text"), F.lit(" ")).alias("question"),
         F.lit(None).cast("string").alias("expected_answer"),
         F.lit(None).cast("string").alias("category"),
-        F.array(F.substring("text", 1, 40)).alias("contexts"),
+        F.array("text").alias("contexts"),
         F.lit(None).cast("array<string>").alias("expected_tools"),
         F.struct(
             F.when(F.col("turn") == 0, "opening").otherwise("follow_up").alias("category"),

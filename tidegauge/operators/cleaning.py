@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.hashing import row_fingerprint, uniform
+from tidegauge.operators.ranking import running_totals
+from tidegauge.session import durable
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -47,17 +49,15 @@ def clean_report(df: DataFrame) -> DataFrame:
 # --- split ------------------------------------------------------------------
 
 _SPLIT_BINS = 1 << 16
-_MOST_CLASSES = 1000
 
 
-def split_cuts(
-    df: DataFrame, target: str, row_id: str, fraction: float = 0.2, seed: int = 42
-) -> dict[object, tuple[float, object]]:
-    """Per class, the last (hash, id) pair that still belongs to the test part.
+def split_cuts(df: DataFrame, target: str, row_id: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Per class ``(y, cut_u, cut_id)``: the last (hash, id) pair that still belongs to the test part.
 
     The test part of a class is its first ceil(fraction * n) rows by hash. A
-    histogram of the hash finds the bin that holds the last of them; only that
-    bin's rows (one in 65,536, hashes of unique ids cannot pile up) are ranked.
+    histogram of the hash finds the bin that holds the last of them. Only the
+    rows of these bins are ranked, in one global order over all classes, so
+    neither the number of classes nor the size of a bin is bounded.
     """
     if target not in df.columns:
         raise ValueError(f"target column {target!r} is missing")
@@ -66,50 +66,41 @@ def split_cuts(
         F.col(target).alias("y"), F.col(row_id).alias("id"), draw.alias("u")
     ).withColumn("bin", F.floor(F.col("u") * _SPLIT_BINS).cast("int"))
     counts = rows.groupBy("y", "bin").agg(F.count(F.lit(1)).alias("n"))
-    per_class = Window.partitionBy("y")
-    placed = counts.select(
-        "y",
-        "bin",
-        "n",
-        F.sum("n").over(per_class.orderBy("bin")).alias("upto"),
-        F.ceil(F.sum("n").over(per_class) * F.lit(float(fraction))).alias("wanted"),
-    )
-    cut = (
+    per_class = Window.partitionBy("y")  # at most one row per bin
+    upto = F.sum("n").over(per_class.orderBy("bin"))
+    wanted = F.ceil(F.sum("n").over(per_class) * F.lit(float(fraction)))
+    placed = counts.select("y", "bin", "n", upto.alias("upto"), wanted.alias("wanted"))
+    cut = durable(
         placed.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select("y", "bin", (F.col("wanted") - (F.col("upto") - F.col("n"))).alias("need"))
-        .limit(_MOST_CLASSES + 1)
-        .collect()
+        .select(F.col("y").alias("cy"), F.col("bin").alias("cbin"),
+                (F.col("wanted") - (F.col("upto") - F.col("n"))).alias("need"))
+    )
+    near = rows.join(cut, F.col("y").eqNullSafe(F.col("cy")) & (F.col("bin") == F.col("cbin")))
+    ranked = running_totals(
+        near.select("y", "u", "id", "need"), [F.col("y"), F.col("u"), F.col("id")], {"place": F.lit(1)}
     )
-    if len(cut) > _MOST_CLASSES:
-        raise ValueError(f"{target!r} has too many values to be a class")
-    if not cut:
-        return {}
-    in_cut = F.lit(False)
-    need = F.lit(None).cast("long")
-    for row in cut:
-        mine = (F.col("y").eqNullSafe(F.lit(row["y"]))) & (F.col("bin") == row["bin"])
-        in_cut = in_cut | mine
-        need = F.when(mine, F.lit(row["need"])).otherwise(need)
-    order = Window.partitionBy("y").orderBy("u", "id")
-    edge = (
-        rows.where(in_cut)
-        .withColumns({"place": F.row_number().over(order), "need": need})
-        .where(F.col("place") == F.col("need"))
-        .collect()  # one row per class
+    starts = ranked.groupBy(F.col("y").alias("sy")).agg((F.min("place") - 1).alias("start"))
+    edge = ranked.join(starts, F.col("y").eqNullSafe(F.col("sy"))).where(
+        F.col("place") - F.col("start") == F.col("need")
     )
-    return {row["y"]: (row["u"], row["id"]) for row in edge}
+    return edge.select("y", F.col("u").alias("cut_u"), F.col("id").alias("cut_id"))
 
 
 def stratified_split(
     df: DataFrame, target: str, row_id: str, fraction: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """Add ``split`` ('train' or 'test'), the same for any partitioning of the rows."""
+    """Add ``split`` ('train' or 'test'), the same for any partitioning of the rows.
+
+    The cuts, one row per class, are joined to the rows.
+    """
+    cuts = split_cuts(df, target, row_id, fraction, seed).select(
+        F.col("y").alias("_cut_y"), F.col("cut_u").alias("_cut_u"), F.col("cut_id").alias("_cut_id")
+    )
     draw = uniform(F.col(row_id), seed, "split")
-    is_test: Column = F.lit(False)
-    for value, (u, last) in split_cuts(df, target, row_id, fraction, seed).items():
-        before = (draw < F.lit(u)) | ((draw == F.lit(u)) & (F.col(row_id) <= F.lit(last)))
-        is_test = is_test | (F.col(target).eqNullSafe(F.lit(value)) & before)
-    return df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+    before = (draw < F.col("_cut_u")) | ((draw == F.col("_cut_u")) & (F.col(row_id) <= F.col("_cut_id")))
+    joined = df.join(cuts, F.col(target).eqNullSafe(F.col("_cut_y")), "left")
+    split = F.when(F.coalesce(before, F.lit(False)), F.lit("test")).otherwise(F.lit("train"))
+    return joined.withColumn("split", split).drop("_cut_y", "_cut_u", "_cut_id")
 
 
 def class_rates(df: DataFrame, target: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -17,9 +17,6 @@ SHARE_FLOOR = 1e-6
 WARNING, CRITICAL = 0.10, 0.20
 MINIMUM_ROWS = 30
 MISSING = "__missing__"
-# Exact quantiles keep the distinct values of a column in one aggregate buffer;
-# past this many they come from a range-partitioned ranking instead.
-BUFFERED_DISTINCT_VALUES = 500_000
 
 Edges = dict[str, list[float]]
 
@@ -28,33 +25,48 @@ def _probabilities(bins: int) -> list[float]:
     return [i / bins for i in range(bins + 1)]
 
 
-def _ranked_quantiles(df: DataFrame, column: str, bins: int) -> list[float]:
-    """Exact interpolated quantiles by position, whatever the number of distinct values."""
-    counts = (
-        df.select(number(column).alias("v")).where(F.col("v").isNotNull()).groupBy("v").count()
+def _ranked_quantiles(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
+    """Exact interpolated quantiles of all columns, from one ranking of (feature, value).
+
+    Equal values are counted before they are ranked; no task holds a column.
+    """
+    names = [str(i) for i in range(len(columns))]
+    values = df.select(*[number(c).alias(n) for n, c in zip(names, columns)])
+    long = values.unpivot([], names, "feature", "v").where(F.col("v").isNotNull())
+    counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, [F.col("feature"), F.col("v")], {"upto": F.col("n")})
+    sizes = ranked.groupBy("feature").agg(
+        F.min(F.col("upto") - F.col("n")).alias("start"), F.max("upto").alias("end")
+    ).collect()  # one row per column
+    if not sizes:
+        return {c: [] for c in columns}
+    wanted = {}
+    for row in sizes:
+        last = row["end"] - row["start"] - 1
+        lows = [int(p * last) for p in _probabilities(bins)]
+        wanted[row["feature"]] = row["start"], sorted({*lows, *[min(low + 1, last) for low in lows]})
+    asked = F.create_map(
+        *[x for f, (start, places) in wanted.items()
+          for x in (F.lit(f), F.lit([start + k for k in places]).cast("array<bigint>"))]
     )
-    ranked = running_totals(counts, [F.col("v")], {"upto": F.col("count")})
-    total = ranked.agg(F.max("upto")).first()[0]
-    wanted: dict[int, None] = {}
-    for p in _probabilities(bins):
-        low = int(p * (total - 1))
-        wanted[low] = wanted[min(low + 1, total - 1)] = None
     hits = F.filter(
-        F.array(*[F.lit(w).cast("long") for w in sorted(wanted)]),
-        lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("count")),
+        F.try_element_at(asked, F.col("feature")),
+        lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")),
     )
-    # at most two positions per quantile come back
-    at = {
-        place: row["v"]
-        for row in ranked.select("v", hits.alias("hits")).where(F.size("hits") > 0).collect()
-        for place in row["hits"]
-    }
-    edges = []
-    for p in _probabilities(bins):
-        position = p * (total - 1)
-        low = int(position)
-        high = min(low + 1, total - 1)
-        edges.append(at[low] + (position - low) * (at[high] - at[low]))
+    # at most two places per quantile and column come back
+    found = ranked.select("feature", "v", hits.alias("hits")).where(F.size("hits") > 0).collect()
+    at = {(row["feature"], place): row["v"] for row in found for place in row["hits"]}
+    edges: dict[str, list[float]] = {c: [] for c in columns}
+    for row in sizes:
+        feature, start = row["feature"], row["start"]
+        last = row["end"] - start - 1
+        for p in _probabilities(bins):
+            position = p * last
+            low = int(position)
+            high = min(low + 1, last)
+            below, above = at[feature, start + low], at[feature, start + high]
+            exact = position == low or below == above
+            edges[columns[int(feature)]].append(below if exact else (high - position) * below + (position - low) * above)
     return edges
 
 
@@ -63,7 +75,6 @@ def fit_edges(
     current: DataFrame | None,
     columns: list[str],
     bins: int = BINS,
-    buffered_distinct: int = BUFFERED_DISTINCT_VALUES,
     open_ended: bool = False,
 ) -> Edges:
     """Bin edges per numeric column: distinct reference quantiles, else equal widths.
@@ -72,21 +83,9 @@ def fit_edges(
     sides; no spread at all gives no edges. ``open_ended`` moves the outer edges
     to infinity so that values outside the reference range are counted.
     """
-    spread = reference.agg(
-        *[F.approx_count_distinct(number(c)).alias(f"d{i}") for i, c in enumerate(columns)]
-    ).first()
-    small = [c for i, c in enumerate(columns) if spread[i] <= buffered_distinct]
-    quantiles: dict[str, list[float]] = {}
-    if small:
-        cuts = F.array(*[F.lit(p) for p in _probabilities(bins)])
-        row = reference.agg(
-            *[F.percentile(number(c), cuts).alias(f"q{i}") for i, c in enumerate(small)]
-        ).first()
-        quantiles = {c: row[i] or [] for i, c in enumerate(small)}
-    for column in columns:
-        if column not in quantiles:
-            quantiles[column] = _ranked_quantiles(reference, column, bins)
-
+    if not columns:
+        return {}
+    quantiles = _ranked_quantiles(reference, columns, bins)
     edges = {c: sorted(set(quantiles[c])) for c in columns}
     flat = [c for c in columns if len(edges[c]) == 1]
     if flat:
@@ -212,6 +211,10 @@ def categorical_psi(
     )
 
 
+def _is_number(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal")
+
+
 def feature_psi(
     reference: DataFrame,
     current: DataFrame,
@@ -226,7 +229,8 @@ def feature_psi(
     """
     columns = columns or reference.columns
     kinds = dict(reference.dtypes)
-    texts = [c for c in columns if kinds[c] in ("string", "boolean", "date") or c in (categorical or [])]
+    # numbers and booleans are binned; all other types are compared value by value
+    texts = [c for c in columns if not _is_number(kinds[c]) or c in (categorical or [])]
     numbers = [c for c in columns if c not in texts]
     parts = []
     if numbers:

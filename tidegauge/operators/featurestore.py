@@ -96,7 +96,8 @@ def as_of(
     the facts and tells each label the number of the last fact before it. The two
     then meet in an equi-join on that number. No pair of rows is formed, and
     neither a busy key nor a busy day ends in one task. A fact at the label's own
-    time is visible to it.
+    time is visible to it; of facts with one key, time and creation time the one with
+    the greatest content hash counts.
     """
     sides = facts.select(
         F.col(key),
@@ -114,9 +115,10 @@ def as_of(
         allowMissingColumns=True,
     )
     is_fact = F.col("_side") == 0
+    # rows of one instant are told apart by their content, so their order does not depend on the partitioning
     numbered = running_totals(
-        sides,
-        [F.col(key), F.col("_time"), F.col("_side"), F.col("_created")],
+        sides.withColumn("_tie", F.xxhash64("_fact", "_label")),
+        [F.col(key), F.col("_time"), F.col("_side"), F.col("_created"), F.col("_tie")],
         {"_number": is_fact.cast("long")},
     )
     known = numbered.where(is_fact).select(F.col(key).alias("_key"), "_number", "_fact")

@@ -49,17 +49,35 @@ _ESTIMATORS = {
 _WEIGHTS = {"class_weight", "scale_pos_weight"}
 
 
+# Parameters that are taken and have no counterpart here: they steer how the original libraries work.
+_WITHOUT_EFFECT = {
+    "gradient_boosting": {"min_samples_split", "max_features"},
+    "xgboost": {"n_jobs", "eval_metric", "colsample_bytree", "min_child_weight", "gamma", "reg_alpha", "reg_lambda",
+                "tree_method", "objective", "use_label_encoder"},
+    "random_forest": {"n_jobs", "min_samples_split", "max_features", "bootstrap"},
+    "logistic_regression": {"n_jobs", "solver", "random_state", "penalty", "C"},
+}
+
+
 def build_classifier(algorithm: str, params: Mapping[str, object], weighted: bool = False):
-    """Estimator by name; parameters without a counterpart are left out."""
+    """Estimator by name; a parameter that is not known at all is an error."""
     if algorithm not in _ESTIMATORS:
         raise ValueError(f"unknown algorithm {algorithm!r}; known: {', '.join(sorted(_ESTIMATORS))}")
     names = _NAMES[algorithm]
+    unknown = sorted(set(params) - set(names) - _WEIGHTS - _WITHOUT_EFFECT[algorithm])
+    if unknown:
+        raise ValueError(f"unknown parameters of {algorithm}: {', '.join(unknown)}")
     known = {names[k]: v for k, v in params.items() if k in names and v is not None}
     if weighted:
         known["weightCol"] = "_weight"
     return _ESTIMATORS[algorithm](featuresCol="_features", labelCol="_label", **known)
 
 
+def load_scorer(path: str) -> PipelineModel:
+    """A pipeline that was saved after training, ready to score without its training data."""
+    return PipelineModel.load(path)
+
+
 def class_weights(df: DataFrame, label: str, params: Mapping[str, object]) -> Column | None:
     """Row weight asked for by the parameters, from one count of the classes."""
     balanced = params.get("class_weight") == "balanced"

@@ -19,7 +19,9 @@ def load_part(spark: SparkSession, path: str, part: str, encoder_name: str) -> D
     """A stored part of the index; rows of another version or encoder do not count."""
     try:
         stored = spark.read.parquet(f"{path}/{part}")
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     mine = (F.col("schema_version") == INDEX_VERSION) & (F.col("encoder") == encoder_name)
     return stored.where(mine)

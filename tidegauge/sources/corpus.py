@@ -2,32 +2,70 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidegauge.functions.text import normalize_document
 
 
+def _glob_regex(pattern: str) -> str:
+    """A path pattern as a regular expression: ``**/`` any folders, ``*`` and ``?`` within a name."""
+    out, k = "", 0
+    while k < len(pattern):
+        if pattern.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif pattern[k] == "*":
+            out, k = out + "[^/]*", k + 1
+        else:
+            out, k = out + ("[^/]" if pattern[k] == "?" else re.escape(pattern[k])), k + 1
+    return out
+
+
+def _files(spark: SparkSession, path: str, name: str | None = None) -> DataFrame | None:
+    """Files at or below a path; none if the path does not exist."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if name is not None:
+        reader = reader.option("pathGlobFilter", name)
+    try:
+        return reader.load(path)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def discover(spark: SparkSession, root: str, patterns: Sequence[str], fixed: Sequence[str] = ()) -> DataFrame:
     """Non-empty files under ``root`` that match a pattern or are named, each once.
 
-    Columns: path, modificationTime, length, content.
+    A pattern is a path below ``root``; ``**`` stands for any folders, so ``*.md`` takes
+    the files of the root only and ``docs/**/*.md`` all below ``docs``. Folders and named files
+    that do not exist are skipped. Columns: path, modificationTime, length, content.
     """
-    found = None
-    for pattern in patterns:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", pattern)
-            .load(root)
-        )
-        found = files if found is None else found.unionByName(files)
-    for name in fixed:
-        files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{name}")
-        found = files if found is None else found.unionByName(files)
-    if found is None:
+    if not patterns and not fixed:
         raise ValueError("no pattern and no file given")
+    base = root.rstrip("/")
+    parts = []
+    for pattern in patterns:
+        folders = pattern.split("/")[:-1]
+        plain = []
+        for folder in folders:
+            if any(c in folder for c in "*?"):
+                break
+            plain.append(folder)
+        files = _files(spark, "/".join([base, *plain]), pattern.split("/")[-1])
+        if files is not None:
+            bare = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", base)
+            parts.append(files.where(F.col("path").rlike(re.escape(bare) + "/" + _glob_regex(pattern) + "$")))
+    parts += [files for name in fixed if (files := _files(spark, f"{base}/{name}")) is not None]
+    if not parts:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     return found.where(F.col("length") > 0).dropDuplicates(["path"])
 
 
@@ -36,12 +74,21 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+@F.pandas_udf(T.StringType())
+def _readable(content: pd.Series) -> pd.Series:
+    """Text of files with bytes that are not UTF-8, without those bytes."""
+    return content.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
+
+
 def read_text(files: DataFrame) -> DataFrame:
     """Decoded and normalised text per file; JSON files in canonical form.
 
     Bytes that are not UTF-8 are dropped.
     """
-    raw = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    plain = F.col("content").cast("string")
+    sound = F.is_valid_utf8(plain)
+    # only files with broken bytes are sent to Python
+    raw = F.when(sound, plain).otherwise(_readable(F.when(~sound, F.col("content"))))
     is_json = F.lower(F.col("path")).endswith(".json")
     text = F.when(is_json, F.coalesce(canonical_json(raw), normalize_document(raw))).otherwise(
         normalize_document(raw)

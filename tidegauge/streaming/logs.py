@@ -142,10 +142,16 @@ def compact_online(spark: SparkSession, path: str, target: str, keys: list[str],
 # --- drift ------------------------------------------------------------------
 
 
+ALL_ROWS = "__rows__"
+
+
 def bin_counts(current: DataFrame, edges: drift.Edges, reference_version: str) -> DataFrame:
-    """Running counts per (reference version, feature, bin) of a stream against fixed edges."""
-    stamped = current.withColumn("reference_version", F.lit(reference_version))
-    return drift.count_bins(stamped, edges, ["reference_version"])
+    """Running counts per (reference version, feature, bin) of a stream against fixed edges.
+
+    All rows are counted too, nulls or not, as the feature ``__rows__``.
+    """
+    stamped = current.withColumns({"reference_version": F.lit(reference_version), ALL_ROWS: F.lit(0.0)})
+    return drift.count_bins(stamped, {**edges, ALL_ROWS: []}, ["reference_version"])
 
 
 def drift_decisions(
@@ -154,10 +160,10 @@ def drift_decisions(
     """Handler for complete-mode bin counts: one decision row per batch, withheld below the minimum."""
 
     def decide(counts: DataFrame, batch_id: int) -> None:
+        of_all = F.col("feature") == ALL_ROWS
         current = counts.drop("reference_version")
-        psi = drift.psi_from_counts(reference_counts, current)
-        per_feature = current.groupBy("feature").agg(F.sum("n").alias("rows"))
-        rows = per_feature.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("current_row_count"))
+        psi = drift.psi_from_counts(reference_counts, current.where(~of_all))
+        rows = current.where(of_all).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("current_row_count"))
         decision = drift.decide(psi).withColumn("_one", F.lit(1)).join(
             rows.withColumn("_one", F.lit(1)), "_one"
         ).drop("_one")
