@@ -181,3 +181,11 @@ def test_split_keeps_a_class_of_nulls(spark):
     found = {r["y"]: r["n"] for r in cleaning.stratified_split(rows, "y", "id").where("split = 'test'")
              .groupBy("y").agg(F.count("*").alias("n")).collect()}
     assert found == {None: 10, 1: 10}
+
+
+def test_unknown_parameter_is_an_error():
+    from tidegauge.operators import scoring
+
+    with pytest.raises(ValueError, match="n_estimater"):
+        scoring.build_classifier("random_forest", {"n_estimater": 10})
+    scoring.build_classifier("xgboost", {"n_estimators": 10, "colsample_bytree": 0.8})

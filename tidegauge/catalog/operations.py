@@ -13,7 +13,12 @@ _STAMP = "%Y-%m-%d %H:%M:%S"
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Events in the layout of request logs."""
-    return table(spark, folder, "events").select(
+    return as_requests(table(spark, folder, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    """A table or stream of events in that layout."""
+    return events.select(
         "event_id",
         moment("ts").alias("ts"),
         F.concat(F.lit("/"), F.col("event_type")).alias("endpoint"),

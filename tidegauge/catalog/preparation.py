@@ -310,6 +310,21 @@ def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.stratified_split(orders, "o_orderstatus", "o_orderkey")
 
 
+@register(
+    "stratified_split_customers",
+    """WITH drawn AS (
+  SELECT o_orderkey, o_custkey,
+         ('0x' || substr(md5(o_orderkey::VARCHAR || '|42|split'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM orders),
+placed AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY u, o_orderkey) AS rn,
+                  count(*) OVER (PARTITION BY o_custkey) AS n FROM drawn)
+SELECT o_orderkey, o_custkey, CASE WHEN rn <= ceil(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM placed""",
+)
+def stratified_split_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """A split by a target of very many values."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    return cleaning.stratified_split(orders, "o_custkey", "o_orderkey")
+
+
 @register(
     "class_rate",
     """WITH drawn AS (

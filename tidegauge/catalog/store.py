@@ -130,3 +130,25 @@ def asof_features(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(
         "event_id", "user_id", _text("feature_timestamp", _MICROS).alias("feature_timestamp"), "value"
     )
+
+
+@register(
+    "asof_features_ties",
+    """WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+f AS (SELECT user_id, date_trunc('day', ts) AS fts, max(event_id) AS last_view FROM events
+      WHERE event_type IN ('view', 'click') GROUP BY ALL)
+SELECT event_id, l.user_id, strftime(fts, '%Y-%m-%d %H:%M:%S.%f') AS feature_timestamp, last_view
+FROM l ASOF LEFT JOIN f ON l.user_id = f.user_id AND l.ts >= f.fts""",
+)
+def asof_features_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts of one day at one instant: the one created last counts."""
+    events = table(spark, folder, "events").withColumn("ts", moment("ts"))
+    labels = events.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    views = events.where(F.col("event_type").isin("view", "click")).select(
+        "user_id", F.date_trunc("day", "ts").alias("fts"), F.col("event_id").alias("last_view"),
+        F.timestamp_seconds("event_id").alias("made"),
+    )
+    joined = featurestore.as_of(labels, views, "user_id", "ts", "fts", ["last_view"], created="made")
+    return joined.select(
+        "event_id", "user_id", _text("feature_timestamp", _MICROS).alias("feature_timestamp"), "last_view"
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.catalog.base import moment, register, table
-from tidegauge.catalog.operations import _REQUESTS_SQL, _SLIDES_SQL, _stamped
+from tidegauge.catalog.operations import BOUNDS, _REQUESTS_SQL, _SLIDES_SQL, _quantile_sql, _stamped, as_requests
 from tidegauge.catalog.drift import NUMBERS, SPLIT, _SHIPMENTS_SQL, _psi_sql
 from tidegauge.catalog.store import _LATEST_SQL
 from tidegauge.functions import text as tx
@@ -43,6 +43,51 @@ def stream_error_share(spark: SparkSession, folder: str) -> DataFrame:
     return _stamped(found).withColumn("error_share", F.round("error_share", 6))
 
 
+@register(
+    "stream_error_share_by_endpoint",
+    f"""WITH {_REQUESTS_SQL}, {_SLIDES_SQL}
+SELECT endpoint, method, strftime(ws, '{_STAMP}') AS window_start, count(*) AS requests, count(*) FILTER (status_code LIKE '5%') AS errors,
+       round(count(*) FILTER (status_code LIKE '5%')::DOUBLE / count(*), 6) AS error_share FROM slid GROUP BY endpoint, method, ws""",
+)
+def stream_error_share_by_endpoint(spark: SparkSession, folder: str) -> DataFrame:
+    """The sliding error share with the labels of the requests."""
+    path, keys = scratch_path(spark, "error-share"), ["endpoint", "method"]
+    shares = logs.error_share(
+        as_requests(stream(spark, folder, "events")), F.col("status_code").startswith("5"), keys=keys
+    )
+    logs.run_available(shares, logs.per_batch_table(path), "update")
+    found = _last_batch(spark, path, [*keys, "window_start"])
+    return _stamped(found).withColumn("error_share", F.round("error_share", 6))
+
+
+@register(
+    "stream_latency_p95",
+    f"""WITH {_REQUESTS_SQL}, {_SLIDES_SQL},
+counted AS (SELECT endpoint, ws, count(*) AS n, {", ".join(f"count(*) FILTER (latency_s <= {b}::DOUBLE) AS le_{i}" for i, b in enumerate(BOUNDS))} FROM slid GROUP BY endpoint, ws)
+SELECT endpoint, strftime(ws, '{_STAMP}') AS window_start, n AS requests, round({_quantile_sql()}, 6) AS p95 FROM counted""",
+)
+def stream_latency_p95(spark: SparkSession, folder: str) -> DataFrame:
+    """The sliding p95 per endpoint of a stream of requests."""
+    path, keys = scratch_path(spark, "latency"), ["endpoint"]
+    found = logs.latency_p95(as_requests(stream(spark, folder, "events")), BOUNDS, keys=keys)
+    logs.run_available(found, logs.per_batch_table(path), "update")
+    return _stamped(_last_batch(spark, path, [*keys, "window_start"])).withColumn("p95", F.round("p95", 6))
+
+
+@register(
+    "stream_request_rate",
+    f"""WITH {_REQUESTS_SQL}
+SELECT endpoint, strftime(date_trunc('minute', ts), '{_STAMP}') AS window_start, count(*) AS requests, count(*)::DOUBLE AS per_minute
+FROM req GROUP BY endpoint, date_trunc('minute', ts)""",
+)
+def stream_request_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests per minute and endpoint of a stream."""
+    path, keys = scratch_path(spark, "rate"), ["endpoint"]
+    rates = logs.request_rate(as_requests(stream(spark, folder, "events")), keys)
+    logs.run_available(rates, logs.per_batch_table(path), "update")
+    return _stamped(_last_batch(spark, path, [*keys, "window_start"]))
+
+
 @register(
     "stream_latest",
     f"""WITH {_LATEST_SQL} SELECT customer_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_timestamp, event_id AS created, event_type, value FROM latest""",
@@ -89,6 +134,28 @@ def stream_drift(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register(
+    "stream_drift_rows",
+    f"""SELECT count(*) AS current_row_count, count(*) >= 30 AS decision_eligible FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '{SPLIT}'""",
+)
+def stream_drift_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The row count behind a streamed decision when each feature misses half of its values."""
+    cut = F.lit(SPLIT).cast("timestamp_ntz")
+    columns = ["l_quantity", "l_discount"]
+    reference = table(spark, folder, "lineitem").where(F.col("l_shipdate") < cut)
+    edges = drift.fit_edges(reference, None, columns)
+    odd = F.col("l_linenumber") % 2 == 1
+    current = stream(spark, folder, "lineitem").where(F.col("l_shipdate") >= cut).withColumns(
+        {"l_quantity": F.when(odd, F.col("l_quantity")), "l_discount": F.when(~odd, F.col("l_discount"))}
+    )
+    path = scratch_path(spark, "decisions")
+    counts = logs.bin_counts(current, edges, SPLIT)
+    logs.run_available(counts, logs.drift_decisions(drift.count_bins(reference, edges), path), "complete")
+    newest = spark.read.parquet(path).orderBy(F.col("batch_id").desc()).limit(1)  # one decision row per batch
+    return newest.select("current_row_count", "decision_eligible")
+
+
 @register(
     "stream_guardrail",
     r"""WITH a AS (SELECT conv_id, turn, role, text, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[EMAIL_REDACTED]', 'g') AS t1 FROM conversations),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -79,17 +79,18 @@ def split_faults(quarantine: str, accept: BatchHandler) -> BatchHandler:
 
 def error_share(
     events: DataFrame, failed: Column, time: str = "ts", delay: str = "10 minutes",
-    length: str = "5 minutes", slide: str = "1 minute",
+    length: str = "5 minutes", slide: str = "1 minute", keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Sliding share of failures; rows later than the delay are dropped."""
-    return opsmetrics.error_share(events.withWatermark(time, delay), failed, (), time, length, slide)
+    """Sliding share of failures, per key if keys are given; rows later than the delay are dropped."""
+    return opsmetrics.error_share(events.withWatermark(time, delay), failed, keys, time, length, slide)
 
 
 def latency_p95(
-    events: DataFrame, bounds: list[float], time: str = "ts", latency: str = "latency_s", delay: str = "10 minutes"
+    events: DataFrame, bounds: list[float], time: str = "ts", latency: str = "latency_s", delay: str = "10 minutes",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Sliding bucket-interpolated p95."""
-    return opsmetrics.latency_p95(events.withWatermark(time, delay), bounds, (), time, latency)
+    """Sliding bucket-interpolated p95, per key if keys are given."""
+    return opsmetrics.latency_p95(events.withWatermark(time, delay), bounds, keys, time, latency)
 
 
 def request_rate(events: DataFrame, keys: list[str], time: str = "ts", delay: str = "10 minutes") -> DataFrame:
