@@ -180,6 +180,8 @@ def _encoded(texts: pd.Series, encoder: Encoder, normalize: bool = True) -> np.n
 SCORE_DECIMALS = 9
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
+# Cells of a score matrix: corpus rows are scored in slices so that it stays this small.
+SCORE_CELLS = 2_000_000
 BROADCAST_CANDIDATES = 200_000
 
 
@@ -266,7 +268,12 @@ def nearest(
             query_keys, query_matrix = shared.value
             if len(query_keys) == 0:
                 return
-            pairs = ((b["key"].to_numpy(), vectors_of(b["vector"])) for b in batches if len(b))
+            step = max(1, SCORE_CELLS // len(query_keys))
+            pairs = (
+                (part["key"].to_numpy(), vectors_of(part["vector"]))
+                for b in batches
+                for part in (b.iloc[i : i + step] for i in range(0, len(b), step))
+            )
             scores, keys = _scan(pairs, query_matrix, k)
             if scores is not None:
                 yield _result(query_keys, scores, keys)
@@ -290,8 +297,7 @@ def nearest(
             if len(chunk) == 0 or len(asked) == 0:
                 return pd.DataFrame({"query": [], "key": [], "score": []})
             vectors = np.stack(chunk["vector"]).astype(np.float64)
-            # slices keep the score matrix small
-            step = max(1, 2_000_000 // max(1, len(asked)))
+            step = max(1, SCORE_CELLS // max(1, len(asked)))
             pairs = (
                 (chunk["key"].to_numpy()[i : i + step], vectors[i : i + step])
                 for i in range(0, len(chunk), step)
