@@ -10,7 +10,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 # Covered by the whole-job tests; slow to repeat here.
 TRAINED = {"train_metrics", "feature_importance", "experiment_sweep", "retrain_decision", "synthetic_prediction_log",
-           "batch_predict_raw", "batch_predict_lookup", "synthetic_drift_psi"}
+           "synthetic_drift_psi"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 

@@ -95,7 +95,7 @@ def test_discovery_and_manifest(spark, tmp_path):
     (tmp_path / "set.json").write_text('{"b": 1, "a": "x"}', encoding="utf-8")
     files = corpus.discover(spark, str(tmp_path), ["docs/**/*.md", "absent/*.md"], ["set.json", "no.json"])
     texts = {r["source"].rsplit("/", 1)[1]: (r["source_type"], r["text"]) for r in corpus.read_text(files).collect()}
-    assert texts == {"note.md": ("markdown", "drift note"), "set.json": ("json", '{"a":"x","b":1}')}
+    assert texts == {"note.md": ("markdown", "drift note"), "set.json": ("json", '{\n  "a": "x",\n  "b": 1\n}')}
     rows = corpus.manifest(files).collect()
     assert {r["size_bytes"] for r in rows} == {13, 18} and all(len(r["sha256"]) == 64 for r in rows)
 

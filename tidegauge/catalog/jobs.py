@@ -9,7 +9,7 @@ from tidegauge.catalog.base import raw_customers, raw_customers_sql, register, t
 from tidegauge.catalog.drift import _psi_sql
 from tidegauge.catalog.preparation import _BASE_FEATURES, _rounded, _scaled_sql
 from tidegauge.operators import drift, featurestore, scoring, synthetic
-from tidegauge.operators.encoder import ChurnEncoder
+from tidegauge.operators.encoder import ChurnEncoder, ChurnEncoderModel
 from tidegauge.plans import customers as jobs
 from tidegauge.session import scratch_path, through_table
 from tidegauge.sources import sinks, tables
@@ -226,10 +226,10 @@ def _feature_set(spark: SparkSession, folder: str) -> tuple[DataFrame, jobs.Feat
     return raw, jobs.featurize(raw)
 
 
-def _scored_flag(df: DataFrame) -> DataFrame:
+def _scored_flag(df: DataFrame, *more: str) -> DataFrame:
     """Whether a row got a probability, in place of the probability itself."""
     scored = F.coalesce(F.col("churn_probability").between(0.0, 1.0), F.lit(False))
-    return df.select("index", "status", "error", scored.alias("scored"))
+    return df.select("index", "status", "error", scored.alias("scored"), *more)
 
 
 @register("train_metrics")
@@ -270,14 +270,26 @@ def retrain_decision(spark: SparkSession, folder: str) -> DataFrame:
     "batch_predict_raw",
     f"""WITH {raw_customers_sql(clean=False)}
 SELECT "CustomerId" AS "index", CASE WHEN "Balance" < 0 THEN 'error' ELSE 'ok' END AS status,
-       CASE WHEN "Balance" < 0 THEN 'Balance: Input should be greater than or equal to 0' END AS error, "Balance" >= 0 AS scored FROM raw""",
+       CASE WHEN "Balance" < 0 THEN 'Balance: Input should be greater than or equal to 0' END AS error, "Balance" >= 0 AS scored, TRUE AS same_score FROM raw""",
 )
 def batch_predict_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """Every customer as a raw request; those with a negative balance fail with a reason."""
+    """Every customer as a raw request, scored by an encoder and a model read back from disk.
+
+    Those with a negative balance fail with a reason; scores equal those of the model as trained.
+    """
     _, made = _feature_set(spark, folder)
     model = scoring.train(through_table(made.train, "train"), LOGISTIC)
+    path = scratch_path(spark, "scorer")
+    made.encoder.write().overwrite().save(f"{path}/encoder")
+    model.write().overwrite().save(f"{path}/model")
     requests = raw_customers(spark, folder, clean=False).withColumnRenamed("RowNumber", "index")
-    return _scored_flag(scoring.predict_raw(requests, made.encoder, model, LOGISTIC))
+    trained = scoring.predict_raw(requests, made.encoder, model, LOGISTIC)
+    loaded = scoring.predict_raw(
+        requests, ChurnEncoderModel.load(f"{path}/encoder"), scoring.load_scorer(f"{path}/model"), LOGISTIC
+    )
+    expected = trained.select("index", F.col("churn_probability").alias("_expected"))
+    same = F.col("churn_probability").eqNullSafe(F.col("_expected"))
+    return _scored_flag(loaded.join(expected, "index").withColumn("same_score", same), "same_score")
 
 
 @register(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -69,9 +70,17 @@ def discover(spark: SparkSession, root: str, patterns: Sequence[str], fixed: Seq
     return found.where(F.col("length") > 0).dropDuplicates(["path"])
 
 
-def canonical_json(text: Column) -> Column:
-    """JSON with keys in sorted order; null when the text is no JSON."""
-    return F.to_json(F.try_parse_json(text))
+@F.pandas_udf(T.StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON with sorted keys and an indent of two; null when the text is no JSON."""
+
+    def one(raw: str | None) -> str | None:
+        try:
+            return None if raw is None else json.dumps(json.loads(raw), ensure_ascii=False, indent=2, sort_keys=True)
+        except (ValueError, RecursionError):
+            return None
+
+    return text.map(one)
 
 
 @F.pandas_udf(T.StringType())
@@ -81,7 +90,7 @@ def _readable(content: pd.Series) -> pd.Series:
 
 
 def read_text(files: DataFrame) -> DataFrame:
-    """Decoded and normalised text per file; JSON files in canonical form.
+    """Decoded and normalised text per file; JSON files with sorted keys and an indent of two.
 
     Bytes that are not UTF-8 are dropped.
     """
@@ -90,7 +99,7 @@ def read_text(files: DataFrame) -> DataFrame:
     # only files with broken bytes are sent to Python
     raw = F.when(sound, plain).otherwise(_readable(F.when(~sound, F.col("content"))))
     is_json = F.lower(F.col("path")).endswith(".json")
-    text = F.when(is_json, F.coalesce(canonical_json(raw), normalize_document(raw))).otherwise(
+    text = F.when(is_json, F.coalesce(canonical_json(F.when(is_json, raw)), normalize_document(raw))).otherwise(
         normalize_document(raw)
     )
     return files.select(
