@@ -202,6 +202,66 @@ def synthetic_age_drift(spark: SparkSession, folder: str) -> DataFrame:
     return batch.select("draw_id", "c_custkey", "Age", "Tenure", "Geography")
 
 
+_PRESET_KINDS = {
+    "CreditScore": "long", "Age": "long", "Tenure": "long", "Balance": "double", "NumOfProducts": "long",
+    "IsActiveMember": "long", "EstimatedSalary": "double", "Geography": "string", "Card Type": "string",
+    "Point Earned": "long",
+}
+
+
+def _rule_sql(label: str, seed: int, rule: tuple) -> str:
+    """A preset's rule for one column, over ``draw_id``."""
+    kind, *args = rule
+
+    def clipped(value: str, low, high) -> str:
+        value = value if high is None else f"least({high}::DOUBLE, {value})"
+        return value if low is None else f"greatest({low}::DOUBLE, {value})"
+
+    def chosen(options: list) -> str:
+        cases, bound = [], 0.0
+        for value, weight in options[:-1]:
+            bound += weight
+            cases.append(f"WHEN {_uniform_sql('draw_id', seed, label)} < {bound!r}::DOUBLE THEN {value!r}")
+        return f"CASE {' '.join(cases)} ELSE {options[-1][0]!r} END" if cases else repr(options[-1][0])
+
+    if kind == "integers":
+        low, high = args
+        return f"CAST({low} + floor({_uniform_sql('draw_id', seed, label)} * {high - low + 1}) AS BIGINT)"
+    if kind == "choice":
+        return chosen(args[0])
+    if kind in ("normal", "int_normal"):
+        mean, deviation, low, high = args
+        value = _normal_sql(label, mean, deviation, seed)
+    else:
+        options, deviation, low, high = args
+        value = f"(({chosen(options)})::DOUBLE + {_normal_sql(label + ':noise', 0, deviation, seed)})"
+    if kind.startswith("int_"):
+        return f"CAST({clipped(f'round_even({value}, 0)', low, high)} AS BIGINT)"
+    return f"round({clipped(value, low, high)}, 3)"
+
+
+def _register_preset(scenario: str) -> None:
+    preset = synthetic.PRESETS[scenario]
+    seed = 42 + synthetic.SCENARIOS.index(scenario)
+    rules = ", ".join(f'{_rule_sql(f"{scenario}:{name}", seed, rule)} AS "{name}"' for name, rule in preset.items())
+
+    @register(
+        f"synthetic_{scenario}_values",
+        f"""WITH {_BOOTSTRAP_SQL.format(u=_uniform_sql('d.id', seed, 'bootstrap'))}
+SELECT draw_id, c_custkey, {rules} FROM draws JOIN idx USING (pos)""",
+    )
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        blank = [F.lit(None).cast(_PRESET_KINDS[c]).alias(c) for c in preset]
+        base = table(spark, folder, "customer").select("c_custkey", *blank)
+        batch = synthetic.scenario_batch(base, [F.col("c_custkey")], scenario, base.count())
+        rounded = {c: F.round(c, 3) for c in preset if _PRESET_KINDS[c] == "double"}
+        return batch.withColumns(rounded).select("draw_id", "c_custkey", *preset) if rounded else batch
+
+
+for _scenario in ("wealth_drift", "high_risk_prediction_drift", "mixed_extreme_drift"):
+    _register_preset(_scenario)
+
+
 @register("synthetic_drift_psi")
 def synthetic_drift_psi(spark: SparkSession, folder: str) -> DataFrame:
     """Stability of every scenario batch, each as large as the base, against the base."""
