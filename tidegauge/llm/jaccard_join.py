@@ -42,6 +42,8 @@ TILE_SETS = 512
 TILE_SHINGLES = 1_000_000
 # Mean similarity in a bucket from which splitting it does not pay.
 DENSE = 0.3
+# Runs in the trial.
+PROBES = 2
 _COLUMNS = 4096
 
 _TOKEN = np.uint64(2**52 - 1)
@@ -117,26 +119,29 @@ def _split(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     return through_table(placed.join(shared, "path"), "join-members")
 
 
+def _dense(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Paths of the buckets whose sets are much alike, by a trial of few of the level's runs.
+
+    The share of pairs that a run keeps together estimates the mean similarity in the bucket.
+    """
+    own = sets.select("set_id", F.slice("chosen", level * RUNS + 1, PROBES).alias("chosen"))
+    tried = rows.select("path", "set_id", "sets").join(own, "set_id")
+    tried = tried.select("path", "sets", F.posexplode("chosen").alias("run", "token"))
+    together = tried.groupBy("path", "run", "token").agg(F.count(F.lit(1)).alias("c"), F.first("sets").alias("m"))
+    judged = together.groupBy("path").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("kept"), F.first("m").alias("m"))
+    dense = judged.where(F.col("kept") >= DENSE * PROBES * F.col("m") * (F.col("m") - 1))
+    return through_table(dense.select("path"), "join-dense")
+
+
 def _buckets(sets: DataFrame) -> DataFrame:
     """``(path, set_id, tiles)``: the buckets to compare by brute force; equal small buckets once."""
     rows, done = None, []
     for level in range(LEVELS):
-        members = _split(rows, sets, level)
         if level:
-            # the share of pairs that stay together estimates the mean similarity in the parent bucket
-            together = members.groupBy("parent", "path").agg(F.first("sets").alias("c")).groupBy("parent").agg(
-                F.sum(F.col("c") * (F.col("c") - 1)).alias("together")
-            )
-            judged = rows.groupBy("path").agg(F.first("sets").alias("m")).join(
-                together.withColumnRenamed("parent", "path"), "path"
-            )
-            dense = through_table(
-                judged.where(F.col("together") >= DENSE * RUNS * F.col("m") * (F.col("m") - 1)).select("path"), "join-dense"
-            )
+            dense = _dense(rows, sets, level)
             done.append(rows.join(dense, "path", "left_semi"))
-            members = through_table(
-                members.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti"), "join-members"
-            )
+            rows = rows.join(dense, "path", "left_anti")
+        members = _split(rows, sets, level)
         small, large = members.where(F.col("sets") <= SMALL), members.where(F.col("sets") > SMALL)
         done.append(small)
         rows = large.select("path", "set_id", "n", "sets", "shingles")
