@@ -105,6 +105,31 @@ def drift_psi_categorical(spark: SparkSession, folder: str) -> DataFrame:
     return psi.select("feature", F.round("psi", 6).alias("psi"))
 
 
+_TYPED_SQL = f"""typed AS (
+  SELECT o_orderpriority = '1-URGENT' AS urgent, o_orderpriority, o_custkey % 3 AS slot,
+         o_orderdate < TIMESTAMP '{SPLIT}' AS is_ref FROM orders)"""
+_TYPED_CATEGORY_SQL = """
+cats AS (SELECT 'o_orderpriority' AS feature, is_ref, o_orderpriority AS bin FROM typed
+         UNION ALL SELECT 'slot', is_ref, slot::VARCHAR FROM typed),
+""" + _CATEGORY_SQL[_CATEGORY_SQL.index("counted AS"):]
+
+
+@register(
+    "drift_psi_types",
+    f"""WITH {_TYPED_SQL}, {_psi_sql('typed', ['urgent'], 'is_ref')}, {_TYPED_CATEGORY_SQL}
+SELECT feature, round(psi, 6) AS psi FROM psi UNION ALL SELECT feature, round(psi, 6) FROM cpsi""",
+)
+def drift_psi_types(spark: SparkSession, folder: str) -> DataFrame:
+    """A boolean is binned as a number; a timestamp and a text are compared value by value."""
+    slot = F.timestamp_add("DAY", (F.col("o_custkey") % 3).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    reference, current = _sides(
+        table(spark, folder, "orders").withColumns({"urgent": F.col("o_orderpriority") == "1-URGENT", "slot": slot}),
+        "o_orderdate",
+    )
+    psi = drift.feature_psi(reference, current, ["urgent", "slot", "o_orderpriority"])
+    return psi.select("feature", F.round("psi", 6).alias("psi"))
+
+
 @register(
     "drift_decision",
     f"""WITH {_SHIPMENTS_SQL}, {_psi_sql('ship', NUMBERS, 'is_ref')}, {_CATEGORY_SQL},
