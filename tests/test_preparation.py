@@ -189,3 +189,28 @@ def test_unknown_parameter_is_an_error():
     with pytest.raises(ValueError, match="n_estimater"):
         scoring.build_classifier("random_forest", {"n_estimater": 10})
     scoring.build_classifier("xgboost", {"n_estimators": 10, "colsample_bytree": 0.8})
+
+
+def test_every_reference_experiment_can_be_built(spark):
+    """The parameters of the eight experiment files, copied; no file is read."""
+    from tidegauge.operators import scoring
+
+    boosted = {"learning_rate": 0.05, "max_depth": 3, "min_samples_leaf": 10, "subsample": 0.9, "random_state": 42}
+    forest = {"max_depth": 10, "random_state": 42, "class_weight": "balanced"}
+    files = [
+        ("gradient_boosting", {**boosted, "n_estimators": 250}),
+        ("gradient_boosting", {**boosted, "n_estimators": 400, "learning_rate": 0.03}),
+        ("gradient_boosting", {**boosted, "n_estimators": 350, "learning_rate": 0.03, "max_depth": 2,
+                               "min_samples_leaf": 15, "subsample": 0.85}),
+        ("gradient_boosting", {**boosted, "n_estimators": 300, "learning_rate": 0.04, "max_depth": 4,
+                               "min_samples_leaf": 8}),
+        ("random_forest", {**forest, "n_estimators": 100}),
+        ("random_forest", {**forest, "n_estimators": 200, "max_depth": 15, "min_samples_leaf": 5}),
+        ("random_forest", {**forest, "n_estimators": 300, "max_depth": 8, "min_samples_leaf": 10}),
+        ("xgboost", {"n_estimators": 300, "max_depth": 8, "learning_rate": 0.05, "random_state": 42,
+                     "scale_pos_weight": "__neg_pos_ratio__", "eval_metric": "auc", "verbosity": 0}),
+    ]
+    for algorithm, params in files:
+        built = scoring.build_classifier(algorithm, params)
+        rounds = built.getNumTrees() if algorithm == "random_forest" else built.getMaxIter()
+        assert (rounds, built.getMaxDepth()) == (params["n_estimators"], params["max_depth"])

@@ -53,7 +53,7 @@ _WEIGHTS = {"class_weight", "scale_pos_weight"}
 _WITHOUT_EFFECT = {
     "gradient_boosting": {"min_samples_split", "max_features"},
     "xgboost": {"n_jobs", "eval_metric", "colsample_bytree", "min_child_weight", "gamma", "reg_alpha", "reg_lambda",
-                "tree_method", "objective", "use_label_encoder"},
+                "tree_method", "objective", "use_label_encoder", "verbosity"},
     "random_forest": {"n_jobs", "min_samples_split", "max_features", "bootstrap"},
     "logistic_regression": {"n_jobs", "solver", "random_state", "penalty", "C"},
 }
