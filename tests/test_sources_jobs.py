@@ -166,3 +166,38 @@ def test_encoder_fit_uses_training_rows_only(raw):
     part = raw.where("Age < 40")
     model = ChurnEncoder().fit(part)
     assert model.parameters(raw.sparkSession).where("feature = 'Age'").first()["mean"] == part.agg(F.avg("Age")).first()[0]
+
+
+def test_queries_train_what_the_reference_trains(monkeypatch):
+    """The experiment that reaches the training, of each query that trains; nothing is trained here."""
+    from types import SimpleNamespace
+
+    from tidegauge.catalog import REGISTRY, jobs as queries
+
+    class Reached(Exception):
+        pass
+
+    def reached(rows, experiment, *rest):
+        raise Reached(experiment)
+
+    same = lambda frame, label: frame
+    for module in (queries, jobs):
+        monkeypatch.setattr(module, "through_table", same)
+    monkeypatch.setattr(queries, "_feature_set", lambda spark, folder: (None, SimpleNamespace(train=None, test=None)))
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, label: label)
+    monkeypatch.setattr(scoring, "train", reached)
+    served = {"n_estimators": 300, "learning_rate": 0.04, "max_depth": 4, "min_samples_leaf": 8, "subsample": 0.9,
+              "random_state": 42}
+    for name in ("train_metrics", "retrain_decision", "batch_predict_raw", "batch_predict_lookup",
+                 "synthetic_prediction_log"):
+        with pytest.raises(Reached) as found:
+            REGISTRY[name].run(None, "")
+        assert found.value.args[0].params == served, name
+    with pytest.raises(Reached) as found:
+        REGISTRY["feature_importance"].run(None, "")
+    assert (found.value.args[0].params["n_estimators"], found.value.args[0].params["max_depth"]) == (200, 15)
+    monkeypatch.setattr(jobs, "sweep", lambda train, test, experiments, output: experiments)
+    swept = REGISTRY["experiment_sweep"].run(None, "")
+    assert [(e.params["n_estimators"], e.params["max_depth"]) for e in swept] == [
+        (250, 3), (400, 3), (350, 2), (300, 4), (100, 10), (200, 15), (300, 8), (300, 8),
+    ]

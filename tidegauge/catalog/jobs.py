@@ -16,15 +16,41 @@ from tidegauge.sources import sinks, tables
 
 _CLEAN = raw_customers_sql()
 
-# Small models, so that a query stays a query.
-BOOSTED = scoring.Experiment(
-    "boosted", "gradient_boosting", "0.3.1",
-    {"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3, "min_samples_leaf": 8, "subsample": 0.9, "random_state": 42},
-)
+# The parameters of the reference's experiment files, and of the model it serves ("current").
+_BOOSTED = {"n_estimators": 250, "learning_rate": 0.05, "max_depth": 3, "min_samples_leaf": 10, "subsample": 0.9,
+            "random_state": 42}
+_FOREST = {"n_estimators": 100, "max_depth": 10, "random_state": 42, "class_weight": "balanced"}
+_SIGNAL = {**_BOOSTED, "n_estimators": 300, "learning_rate": 0.04, "max_depth": 4, "min_samples_leaf": 8}
+CHAMPION = scoring.Experiment("current", "gradient_boosting", "0.3.1", _SIGNAL)
 FOREST = scoring.Experiment(
-    "forest", "random_forest", "0.2.0",
-    {"n_estimators": 10, "max_depth": 5, "min_samples_leaf": 5, "class_weight": "balanced", "random_state": 42},
+    "random_forest_v2_precision", "random_forest", "0.2.0",
+    {**_FOREST, "n_estimators": 200, "max_depth": 15, "min_samples_leaf": 5},
 )
+EXPERIMENTS = [
+    scoring.Experiment("gradient_boosting_v1", "gradient_boosting", "0.3.0", _BOOSTED),
+    scoring.Experiment(
+        "gradient_boosting_v2_more_trees", "gradient_boosting", "0.3.1",
+        {**_BOOSTED, "n_estimators": 400, "learning_rate": 0.03},
+    ),
+    scoring.Experiment(
+        "gradient_boosting_v3_smoother", "gradient_boosting", "0.3.1",
+        {**_BOOSTED, "n_estimators": 350, "learning_rate": 0.03, "max_depth": 2, "min_samples_leaf": 15,
+         "subsample": 0.85},
+    ),
+    scoring.Experiment("gradient_boosting_v4_more_signal", "gradient_boosting", "0.3.1", _SIGNAL),
+    scoring.Experiment("random_forest_v1", "random_forest", "0.1.0", _FOREST),
+    FOREST,
+    scoring.Experiment(
+        "random_forest_v3_recall", "random_forest", "0.3.0",
+        {**_FOREST, "n_estimators": 300, "max_depth": 8, "min_samples_leaf": 10},
+    ),
+    scoring.Experiment(
+        "xgboost_v1", "xgboost", "0.3.0",
+        {"n_estimators": 300, "max_depth": 8, "learning_rate": 0.05, "random_state": 42,
+         "scale_pos_weight": scoring.NEG_POS_RATIO, "eval_metric": "auc", "verbosity": 0},
+    ),
+]
+# A quick model for trials of single steps; no query trains it.
 LOGISTIC = scoring.Experiment("logistic", "logistic_regression", "0.1.0", {"max_iter": 20})
 
 
@@ -296,7 +322,7 @@ def _scored_flag(df: DataFrame, *more: str) -> DataFrame:
 def train_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Metric rows of one trained model."""
     _, made = _feature_set(spark, folder)
-    _, found = jobs.train_and_evaluate(through_table(made.train, "train"), made.test, BOOSTED)
+    _, found = jobs.train_and_evaluate(through_table(made.train, "train"), made.test, CHAMPION)
     return found
 
 
@@ -308,9 +334,9 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("experiment_sweep")
 def experiment_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """Two models over the same split."""
+    """The eight experiments over the same split."""
     _, made = _feature_set(spark, folder)
-    return jobs.sweep(made.train, made.test, [FOREST, LOGISTIC], output=scratch_path(spark, "sweep"))
+    return jobs.sweep(made.train, made.test, EXPERIMENTS, output=scratch_path(spark, "sweep"))
 
 
 @register("retrain_decision")
@@ -318,10 +344,10 @@ def retrain_decision(spark: SparkSession, folder: str) -> DataFrame:
     """A challenger trained for a request and held against the champion."""
     _, made = _feature_set(spark, folder)
     train = through_table(made.train, "train")
-    _, champion = jobs.train_and_evaluate(train, made.test, LOGISTIC)
+    _, champion = jobs.train_and_evaluate(train, made.test, CHAMPION)
     request = {"request_id": "1f2e-req", "promotion_rules": {"primary_metric": "recall", "metric_weights": {"recall": 1.0}}}
     decision = jobs.retrain_and_decide(
-        request, FOREST, train, made.test, champion, "logistic", scratch_path(spark, "retrain")
+        request, FOREST, train, made.test, champion, CHAMPION.name, scratch_path(spark, "retrain")
     )
     return decision.select("request_id", "challenger", "criteria", "status", "reason", "recommended_action")
 
@@ -338,14 +364,14 @@ def batch_predict_raw(spark: SparkSession, folder: str) -> DataFrame:
     Those with a negative balance fail with a reason; scores equal those of the model as trained.
     """
     _, made = _feature_set(spark, folder)
-    model = scoring.train(through_table(made.train, "train"), LOGISTIC)
+    model = scoring.train(through_table(made.train, "train"), CHAMPION)
     path = scratch_path(spark, "scorer")
     made.encoder.write().overwrite().save(f"{path}/encoder")
     model.write().overwrite().save(f"{path}/model")
     requests = raw_customers(spark, folder, clean=False).withColumnRenamed("RowNumber", "index")
-    trained = scoring.predict_raw(requests, made.encoder, model, LOGISTIC)
+    trained = scoring.predict_raw(requests, made.encoder, model, CHAMPION)
     loaded = scoring.predict_raw(
-        requests, ChurnEncoderModel.load(f"{path}/encoder"), scoring.load_scorer(f"{path}/model"), LOGISTIC
+        requests, ChurnEncoderModel.load(f"{path}/encoder"), scoring.load_scorer(f"{path}/model"), CHAMPION
     )
     expected = trained.select("index", F.col("churn_probability").alias("_expected"))
     same = F.col("churn_probability").eqNullSafe(F.col("_expected"))
@@ -362,22 +388,22 @@ FROM orders LEFT JOIN (SELECT * FROM raw WHERE "NumOfProducts" > 1) ON o_custkey
 def batch_predict_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Every order asks for its customer; half of the customers are in the store."""
     raw, made = _feature_set(spark, folder)
-    model = scoring.train(through_table(made.train, "train"), LOGISTIC)
+    model = scoring.train(through_table(made.train, "train"), CHAMPION)
     export = jobs.export_features(raw.where(F.col("NumOfProducts") > 1), made.encoder)
     online = featurestore.latest_features(export)
     requests = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("customer_id")
     )
-    return _scored_flag(scoring.predict_lookup(requests, online, model, LOGISTIC))
+    return _scored_flag(scoring.predict_lookup(requests, online, model, CHAMPION))
 
 
 @register("synthetic_prediction_log")
 def synthetic_prediction_log(spark: SparkSession, folder: str) -> DataFrame:
     """Drifted inputs scored into the log layout, and their manifest row."""
     raw, made = _feature_set(spark, folder)
-    model = scoring.train(through_table(made.train, "train"), LOGISTIC)
+    model = scoring.train(through_table(made.train, "train"), CHAMPION)
     path = scratch_path(spark, "log")
-    jobs.prediction_log(raw, "CustomerId", made.encoder, model, LOGISTIC, raw.count(), True,
+    jobs.prediction_log(raw, "CustomerId", made.encoder, model, CHAMPION, raw.count(), True,
                         "2024-01-01T00:00:00-03:00", output=path)
     log = spark.read.schema(schemas.INFERENCE_LOG).json(path)
     return scoring.batch_manifest(log, ["model_name", "monitoring_contract", "feature_source"])
