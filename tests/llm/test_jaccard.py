@@ -69,6 +69,15 @@ def test_splits_and_tiles_lose_nothing(spark, rows, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+def test_empty_tiles_count_no_pair_again(spark, monkeypatch):
+    """Buckets of two or three long sets are tiled by shingles, so that often all sets are in one tile."""
+    rng = random.Random(12)
+    texts = [t for k in range(16) for t in near_copies(rng, 2 + k % 2, 120, 1)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(j, "TILE_SHINGLES", 100)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
 def test_keep_one_and_odd_rows(spark, odd_docs, no_docs, rows):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _row string")
     kept = j.keep_one(docs)

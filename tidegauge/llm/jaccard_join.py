@@ -195,14 +195,19 @@ def _incidence(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     return rows[keep], place[columns[keep]], int(often.sum())
 
 
-def compare(path: int, tile: np.ndarray, ids: np.ndarray, copies: np.ndarray, tokens: list[np.ndarray],
+def compare(path: int, cross: bool, tile: np.ndarray, ids: np.ndarray, copies: np.ndarray, tokens: list[np.ndarray],
             paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Linked sets of one bucket: their ids, the least set each hangs on, and links counted here."""
+    """Linked sets of one bucket: their ids, the least set each hangs on, and links counted here.
+
+    With ``cross`` only pairs from different tiles count; a tile may be empty.
+    """
+    if cross and len(np.unique(tile)) < 2:
+        return None
     m = len(ids)
     sizes = np.array([len(t) for t in tokens], np.float64)
     shared = _common(*_incidence(tokens)[:2], m, _incidence(tokens)[2])
     alike = (ALIKE + OF) * shared.astype(np.float64) >= ALIKE * (sizes[:, None] + sizes[None, :])
-    if len(np.unique(tile)) > 1:
+    if cross:
         alike &= tile[:, None] != tile[None, :]
     np.fill_diagonal(alike, False)
     linked = np.flatnonzero(alike.any(axis=1))
@@ -230,7 +235,9 @@ def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def close() -> None:
         if len(held) > 1:
             tile, ids, copies, tokens, paths = zip(*held)
-            found = compare(key[0], np.array(tile), np.array(ids), np.array(copies, np.int64), list(tokens), list(paths))
+            found = compare(
+                key[0], key[1] != key[2], np.array(tile), np.array(ids), np.array(copies, np.int64), list(tokens), list(paths)
+            )
             if found is not None:
                 out.append(found)
 
