@@ -155,6 +155,24 @@ def test_passages_go_but_their_first_place(spark):
     assert sum(n > 0 for n in later) >= 0.98 * len(later)
 
 
+def test_few_short_passages_are_missed():
+    """Passages of 51 words, each in two places: almost all share a unit."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    passages = [words(rng, 51) for _ in range(3000)]
+    keys = []
+    for _ in range(2):
+        texts = [f"{words(rng, 12)} {p} {words(rng, 12)}" for p in passages]
+        key, owner, _, _ = gear.units(*gear.text_bytes(pa.array(texts)))
+        own = defaultdict(set)
+        for k, i in zip(key.tolist(), owner.tolist()):
+            own[i].add(k)
+        keys.append(own)
+    missed = sum(not keys[0][i] & keys[1][i] for i in range(len(passages)))
+    assert missed <= 3, missed
+
+
 def test_stripping_keeps_columns(odd_docs):
     out = gear.strip_repeats(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidegauge.llm.common import documents_of, fresh, mix, pair, quoted, slices, text_bytes
 
 # Mean bytes in a chunk, chunks in a unit, and the shortest stretch that is removed.
-MEAN_CHUNK = 24
-RUN = 3
+MEAN_CHUNK = 16
+RUN = 4
 LEAST = 64
 _REACH = 32
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
