@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegauge.llm import (
     gear_chunks,
     jaccard_join,
+    line_runs,
     packing,
     pieces,
     quality_rules,
@@ -208,3 +209,26 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces with their sequence and place in it."""
     return packing.pack(packing.cut_documents(read_documents(spark, folder), vocabulary("word_bpe_49k.json")))
+
+
+@query("op13_line_runs", """
+WITH rows0 AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM rows0),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM each),
+often AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5),
+judged AS (
+  SELECT r, doc_id, i, line, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone
+  FROM keyed LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the long lines that five documents or more hold, but for the largest one."""
+    cut = line_runs.drop_repeated(read_documents(spark, folder))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
