@@ -11,6 +11,7 @@ from tidegauge.llm import (
     jaccard_join,
     line_runs,
     packing,
+    periodic_runs,
     pieces,
     quality_rules,
     rule_ensemble,
@@ -211,6 +212,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.cut_documents(read_documents(spark, folder), vocabulary("word_bpe_49k.json")))
 
 
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words in every document, some of which are made periodic, and the text without repeated periods."""
+    return periodic_runs.measure(read_documents(spark, folder), periodic_runs.planted).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words"
+    )
+
+
 @query("op13_line_runs", """
 WITH rows0 AS (
   SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
