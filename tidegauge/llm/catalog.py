@@ -13,6 +13,7 @@ from tidegauge.llm import (
     packing,
     periodic_runs,
     pieces,
+    prefix_trie,
     quality_rules,
     rule_ensemble,
     secret_grammar,
@@ -20,7 +21,7 @@ from tidegauge.llm import (
     toxicity,
     winnowing,
 )
-from tidegauge.llm.common import read_documents
+from tidegauge.llm.common import prepare, read_documents
 from tidegauge.llm.toxicity import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +213,44 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.cut_documents(read_documents(spark, folder), vocabulary("word_bpe_49k.json")))
 
 
+# CRC-32 of the decimal digits of ``c``, byte by byte and bit by bit.
+_CRC_SQL = """xor(list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                           lambda t, z: xor(t // 2, 3988292384 * (t % 2)))), 4294967295)"""
+
+
+@query("op11_prefix_trie", f"""
+WITH own AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+headed AS (SELECT c, l, {_CRC_SQL} % 9 AS h, c - ((c % 5) + 5) % 5 AS b FROM own),
+rebuilt AS (
+  SELECT a.c, list_concat(list_slice(coalesce(o.l, []), 1, a.h), list_slice(a.l, a.h + 1, len(a.l))) AS l
+  FROM headed a LEFT JOIN own o ON o.c = a.b),
+starts AS (SELECT c, len(l) AS n, unnest(range(len(l) + 1)) AS d, l FROM rebuilt),
+placed AS (
+  SELECT c, n, d, min(c) OVER (PARTITION BY d, list_slice(l, 1, d)) AS m,
+         CASE WHEN d > 0 THEN strlen(l[d].t) ELSE 0 END AS size
+  FROM starts),
+walked AS (SELECT *, lag(m) OVER (PARTITION BY c ORDER BY d) AS p FROM placed),
+nodes AS (
+  SELECT m, d, min(p) AS p, count(*) AS k, max(n) AS deepest, max(size) AS size,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends
+  FROM walked GROUP BY m, d),
+children AS (SELECT p AS m, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+trees AS (
+  SELECT u.m, u.d, count_if(v.d = v.deepest) AS n_leaves, sum((v.k - 1) * v.size) AS saved
+  FROM placed u JOIN nodes v ON v.m = u.c AND v.d >= u.d GROUP BY u.m, u.d)
+SELECT m AS conv_id, d AS depth, p AS parent_conv_id, k AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM nodes LEFT JOIN children USING (m, d) JOIN trees USING (m, d)""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations, with what each subtree holds."""
+    prepare(spark)
+    return prefix_trie.nodes(spark.read.parquet(f"{folder.rstrip('/')}/conversations.parquet"))
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of words in every document, some of which are made periodic, and the text without repeated periods."""
