@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -86,6 +87,34 @@ def test_pieces_and_sequences(odd_docs, no_docs):
     assert packing.pack(packing.cut_documents(no_docs, path)).count() == 0
 
 
+def test_split_words_have_the_library_s_ids(spark, monkeypatch):
+    path = vocabularies.path("word_bpe_49k.json")
+    tool = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(11)
+    signs = [*"abcXYZ019.,-_()/<>|'\"\u00e9\u00c9\u00d7\u00f7\u00ff\u0130\u0301\u03a3\u0435\u4e2d\x01\x1f\x7f\xa0\u2028", "'s", "'LL", "I\u0307", "e\u0301",
+             "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "ing", "The"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 40))) for _ in range(3000)]
+    texts.append("Some words, 12.5 of them (\u00e9t\u00c9). " * 60_000)
+    monkeypatch.setattr(packing, "CAPACITY", 1 << 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = sorted((r.doc_id, r.length, r.ids_crc32) for r in packing.cut_documents(docs, path, 1 << 30).collect())
+    expected = []
+    for k, text in enumerate(texts):
+        ids = tool.encode(text, add_special_tokens=False).ids + [0]
+        expected.append((k, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+    assert found == expected
+
+
+def test_small_bins_of_far_tasks_meet(spark):
+    # every task is left with one small bin, and only one task has bins with room for them
+    sizes = [1500] * 30 + [2047] * 3000
+    rows = [(k, 0, 0, size, 0) for k, size in enumerate(sizes)] + [(9000 + k, 0, 0, 40, 0) for k in range(60)]
+    pieces_ = spark.createDataFrame(rows, packing.PIECES)
+    packed = packing.pack(pieces_, task_items=50)
+    assert packed.count() == len(rows)
+    assert packed.select("sequence_id").distinct().count() == 3030
+
+
 def test_best_fit_takes_the_tightest_bin():
     assert packing.best_fit([5, 6, 4, 5], 10) == [[1, 2], [0, 3]]
     bins = packing.best_fit([1100] * 5 + [948] * 5, 2048)

@@ -1,10 +1,9 @@
 """Best-fit packing of tokenised documents into sequences of bounded length, by rounds over residual bins.
 
 Documents are tokenised once, whole, and only the lengths of their pieces go on. In the first
-round every task packs its pieces best-fit decreasing. Bins that are nearly full are done; the
-others become items of the next round, in which fewer tasks each pack the bins of several. Rounds
-go on until one task is left or bins no longer come together. A task gets a bounded number of
-items in every round, however many are left.
+round every task packs a bounded number of pieces best-fit decreasing. Of its bins the one that is at most
+half full, and the roomiest others that could take such bins in, become items of the next round,
+in which the bins of ``FAN_IN`` tasks meet in one; all others are done. Rounds go on until one task is left.
 
 Defined results: a null or empty text is a document with the end id alone; repeated rows are
 documents of their own; an empty table gives no rows; other columns are ignored.
@@ -19,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm.common import documents_of, slices, text_bytes, word_spans
@@ -34,7 +34,7 @@ FAN_IN = 8
 NEARLY_FULL = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BINS = f"size long, done boolean, members array<struct<{PIECES.replace(' long', ':long').replace(' int', ':int')}>>"
+BINS = f"size long, done boolean, task int, members array<struct<{PIECES.replace(' long', ':long').replace(' int', ':int')}>>"
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -47,17 +47,54 @@ def _word_encoder(path: str) -> WordEncoder:
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
-        _ENCODERS[path] = WordEncoder(
-            lambda words: [e.ids for e in tool.encode_batch_fast(words, add_special_tokens=False)]
-        )
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            one = tool.encode(words, is_pretokenized=True, add_special_tokens=False)
+            return np.array(one.ids, np.int32), np.bincount(np.array(one.word_ids, np.int64), minlength=len(words))
+
+        _ENCODERS[path] = WordEncoder(encode)
     return _ENCODERS[path]
 
 
+# Kinds of bytes in a word: what is not a letter, digit or other ASCII sign keeps its word whole.
+_LETTER, _DIGIT, _OTHER, _WHOLE = 1, 2, 3, 4
+_KIND = np.full(256, _WHOLE, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[ord("'"), ord("|")]] = _WHOLE  # contractions, special tokens
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# Second bytes of the letters from U+00C0 to U+00FF, which follow the byte C3.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+
+def split_words(letters: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with A-Z lower-cased, and the starts of their pieces with the end of the last.
+
+    The tokenizer lower-cases, and takes runs of letters, single digits and runs of other signs
+    apart; a word of these signs alone can be cut there beforehand without changing its ids.
+    """
+    if not len(letters):
+        return letters, cuts
+    kind = _KIND[letters]
+    pairs = np.flatnonzero((letters[:-1] == 0xC3) & _LATIN[letters[1:]])
+    kind[pairs] = kind[pairs + 1] = _LETTER
+    whole = np.logical_or.reduceat(kind == _WHOLE, cuts[:-1])
+    free = np.repeat(~whole, np.diff(cuts))
+    begins = np.zeros(len(letters) + 1, bool)
+    begins[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & free[1:] & free[:-1]
+    begins[cuts] = True
+    return np.where(free, _LOWER[letters], letters), np.flatnonzero(begins)
+
+
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document: its ids and the end id, cut every ``capacity`` ids.
 
-    The tokenizer must drop white space (the given one does), so that a text's ids are those of
-    its words. ``tokenizer`` is a path that every worker can read.
+    The tokenizer must drop white space and take words apart as :func:`split_words` says (the
+    given one does). ``tokenizer`` is a path that every worker can read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,17 +103,19 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
             for part in slices(batch):
                 data, offsets = text_bytes(part.column(1))
                 starts, ends, words_at = word_spans(data, offsets)
-                inside = np.zeros(len(data) + 1, np.int64)
-                np.add.at(inside, starts, 1)
-                np.add.at(inside, ends, -1)
-                letters = np.ascontiguousarray(data[np.cumsum(inside[:-1]) > 0])
+                inside = np.zeros(len(data) + 1, np.int8)
+                inside[starts] += 1
+                inside[ends] -= 1
+                letters = np.ascontiguousarray(data[np.cumsum(inside[:-1], dtype=np.int8) > 0])
                 cuts = np.concatenate([[0], np.cumsum(ends - starts)])
-                words, codes = distinct_words(letters, cuts)
-                ids, counts = tool.table(words)
-                ids, counts = np.append(ids, np.int32(END_ID)), np.append(counts, 1)
-                codes = np.insert(codes, words_at[1:], len(counts) - 1)
-                flat, word_offsets = gathered(ids, counts, codes)
-                bounds = word_offsets[words_at + np.arange(len(words_at))]
+                letters, begins = split_words(letters, cuts)
+                words, codes = distinct_words(letters, begins)
+                pieces_at = np.searchsorted(begins, cuts)[words_at]
+                ids, first, counts = tool.table(words)
+                ids, first, counts = np.append(ids, np.int32(END_ID)), np.append(first, len(ids)), np.append(counts, 1)
+                codes = np.insert(codes, pieces_at[1:], len(counts) - 1)
+                flat, piece_offsets = gathered(ids, first, counts, codes)
+                bounds = piece_offsets[pieces_at + np.arange(len(pieces_at))]
                 flat = flat.astype("<u4")
                 rows: list[tuple[int, int, int, int]] = []
                 for k in range(part.num_rows):
@@ -120,8 +159,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(frame: DataFrame, parts: int, capacity: int, nearly_full: int) -> DataFrame:
-    """One round: the bins of every task, done or not."""
+def _round(frame: DataFrame, capacity: int, nearly_full: int) -> DataFrame:
+    """One round over the frame's tasks: their bins, done or not.
+
+    After best-fit at most one bin of a task is no more than half full, and bins that are more can
+    only take in such ones. So that bin stays open, and with it as many of the
+    roomiest others as there are tasks that meet in the next round.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -135,19 +179,23 @@ def _round(frame: DataFrame, parts: int, capacity: int, nearly_full: int) -> Dat
         counts = pc.list_value_length(moved).to_numpy(zero_copy_only=False)
         upto = np.concatenate([[0], np.cumsum(counts)])
         cuts = upto[np.concatenate([[0], np.cumsum([len(one) for one in bins])])]
-        filled = [sum(sizes[k] for k in one) for one in bins]
+        filled = np.array([sum(sizes[k] for k in one) for one in bins])
+        done = np.ones(len(bins), bool)
+        done[np.argsort(filled, kind="stable")[:FAN_IN + 1]] = False
+        done |= capacity - filled <= nearly_full
+        done &= filled > capacity // 2
         out = pa.RecordBatch.from_arrays(
             [
-                pa.array(filled, pa.int64()),
-                pa.array([capacity - size <= nearly_full for size in filled]),
+                pa.array(filled, pa.int64()), pa.array(done),
+                pa.array(np.full(len(bins), TaskContext.get().partitionId(), np.int32)),
                 pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), moved.flatten()),
             ],
-            names=["size", "done", "members"],
+            names=["size", "done", "task", "members"],
         )
         for start in range(0, out.num_rows, 1000):
             yield out.slice(start, 1000)
 
-    return frame.select("size", "members").repartition(parts).mapInArrow(run, BINS)
+    return frame.select("size", "members").mapInArrow(run, BINS)
 
 
 def pack(
@@ -160,22 +208,21 @@ def pack(
     """
     pieces = through_table(pieces, "packing-pieces")
     item = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("members")
-    items = pieces.select(F.col("length").alias("size"), F.lit(False).alias("done"), item)
+    items = pieces.select(F.col("length").alias("size"), item)
     full = items.where(F.col("size") == capacity)
     items = items.where(F.col("size") < capacity)
     finished = [full.select("members")]
-    left = items.count()
-    parts = math.ceil(left / task_items)
-    while left:
-        bins = through_table(_round(items, parts, capacity, nearly_full), "packing-bins")
-        open_bins = bins.where(~F.col("done"))
-        now = open_bins.count()
-        if parts == 1 or now > 0.99 * left:
+    parts = math.ceil(items.count() / task_items)
+    items = items.repartition(max(1, parts))
+    while parts:
+        bins = through_table(_round(items, capacity, nearly_full), "packing-bins")
+        if parts == 1:
             finished.append(bins.select("members"))
             break
         finished.append(bins.where("done").select("members"))
-        parts = max(math.ceil(parts / FAN_IN), math.ceil(now / task_items))
-        items, left = open_bins, now
+        parts = math.ceil(parts / FAN_IN)
+        meet = F.floor(F.col("task") / FAN_IN).cast("int")
+        items = bins.where(~F.col("done")).repartitionById(parts, meet)
     whole = finished[0]
     for more in finished[1:]:
         whole = whole.unionAll(more)

@@ -16,6 +16,7 @@ longest text. There is no shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -203,11 +204,12 @@ class PieceEncoder:
         self.mark_id = self.library.piece_to_id(MARK)
         self.words = WordEncoder(self._encode_words)
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word begins with a mark, which the library puts there again by itself."""
         plain = [w[1:].replace(MARK, " ") for w in words]
-        ids = self.library.encode(plain, num_threads=1)
-        return [one if text else [self.mark_id] for one, text in zip(ids, plain)]
+        ids = [one if text else [self.mark_id] for one, text in zip(self.library.encode(plain, num_threads=1), plain)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the n + 1 offsets of the texts in them, and each id's span of bytes."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,25 +14,43 @@ CACHE_WORD_BYTES = 64
 
 
 class WordEncoder:
-    """Ids of words by a given batch encoder; frequent words, which come early, stay cached."""
+    """Ids of words by a given encoder of lists; frequent words, which come early, stay cached.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
+    The encoder returns the ids of all words one after the other and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
-        self.known: dict[bytes, bytes] = {}
-
-    def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all given words one after the other, and how many each has."""
-        raw = [w.as_py() for w in words]
-        found = [self.known.get(w) for w in raw]
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        if missing:
-            fresh = self.encode([raw[k].decode() for k in missing])
-            for k, ids in zip(missing, fresh):
-                found[k] = np.asarray(ids, np.int32).tobytes()
-                if len(self.known) < CACHE_WORDS and len(raw[k]) <= CACHE_WORD_BYTES:
-                    self.known[raw[k]] = found[k]
-        counts = np.fromiter((len(ids) for ids in found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), np.int32), counts
+        self.known: dict[bytes, int] = {}
+        self.pool = np.zeros(1 << 16, np.int32)
+        self.filled = 0
+        self.first = np.zeros(CACHE_WORDS, np.int64)
+        self.counts = np.zeros(CACHE_WORDS, np.int64)
+
+    def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it those of each given word begin and how many they are."""
+        raw = words.to_pylist()
+        found = np.fromiter(map(self.known.get, raw, repeat(-1)), np.int64, len(raw))
+        first, counts = self.first[found], self.counts[found]
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return self.pool, first, counts
+        ids, sizes = self.encode([raw[k].decode() for k in missing.tolist()])
+        places = np.cumsum(sizes) - sizes
+        keep = [k for k, m in enumerate(missing.tolist()) if len(raw[m]) <= CACHE_WORD_BYTES][:CACHE_WORDS - len(self.known)]
+        if keep:
+            new, at = np.array(keep), len(self.known)
+            kept = ids[np.arange(sizes[new].sum()) + np.repeat(places[new] - (np.cumsum(sizes[new]) - sizes[new]), sizes[new])]
+            while self.filled + len(kept) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
+            self.pool[self.filled:self.filled + len(kept)] = kept
+            span = slice(at, at + len(keep))
+            self.first[span] = self.filled + np.cumsum(sizes[new]) - sizes[new]
+            self.counts[span] = sizes[new]
+            self.filled += len(kept)
+            self.known.update(zip([raw[m] for m in missing[new].tolist()], range(at, at + len(keep))))
+        first[missing], counts[missing] = self.filled + places, sizes
+        return np.concatenate([self.pool[:self.filled], ids.astype(np.int32)]), first, counts
 
 
 def distinct_words(data: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -43,9 +62,10 @@ def distinct_words(data: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, np.nda
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
 
-def gathered(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gathered(
+    ids: np.ndarray, first: np.ndarray, counts: np.ndarray, codes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the coded words one after the other, and the n + 1 offsets of the words in them."""
-    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
     offsets = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(counts[codes], out=offsets[1:])
     place = np.arange(offsets[-1]) + np.repeat(first[codes] - offsets[:-1], counts[codes])
