@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm import winnowing as w
@@ -84,6 +85,32 @@ def test_odd_rows_and_small_tables(spark, odd_docs, no_docs):
     assert w.fingerprint(odd_docs).where(F.size("hashes") != F.size("positions")).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_large_ids_no_ids_and_busy_ids(spark, partitions):
+    texts = [f"text number {k} of some words and more of {k * k}" for k in range(400)]
+    rows = [(2**60 + k, texts[k]) for k in range(40)] + [(None, texts[40])]
+    rows += [(None, texts[k]) for k in range(41, 120)] + [(77, texts[k]) for k in range(120, 260)]
+    rows += [(k, texts[k]) for k in range(260, 300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = w.compare_with_next(docs).collect()
+        one = w.compare_with_next(spark.createDataFrame(rows[:41], "doc_id long, text string").coalesce(1)).collect()
+        frame = w.documents_of(docs).withColumn("tie", F.xxhash64("text"))
+        ties = {(r.doc_id, r.text): r.tie for r in frame.collect()}
+        bounds = w._range_bounds(frame, partitions)
+        parts = frame.groupBy(w._range_of(F.struct("doc_id", "tie"), bounds).alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(one) == 41
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r]), reverse=True)
+    expected = [(i, w.edited(t, ordered[(k + 1) % len(ordered)][1])) for k, (i, t) in enumerate(ordered)]
+    assert sorted(((r.doc_id, r.edited) for r in found), key=str) == sorted(expected, key=str)
+    # no id, or the lack of one, fills a task
+    assert max(r["count"] for r in parts) <= max(60, 3 * len(rows) // partitions) or partitions == 1
+
+
 def test_query_over_the_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()

@@ -7,8 +7,9 @@ A text shorter than a k-gram counts as one k-gram; a text with fewer k-grams tha
 window; the empty text has no fingerprint.
 
 :func:`compare_with_next` walks the documents by descending id and compares each with an edited
-form of itself and with its neighbour. The order is cut into ranges by quantiles of the ids, and
-the first document of each range is also dealt to the range before it, so texts move once.
+form of itself and with its neighbour. The order is cut into ranges by quantiles of the ids (an id that fills whole
+ranges is cut by its texts' hashes), and the first document of each range is also dealt to the range before it, so texts
+move once.
 
 Defined results: a null text is empty; documents without an id come last; documents with one id
 are ordered by the hash of their texts; repeated rows are neighbours of each other; a single
@@ -17,12 +18,12 @@ document is its own neighbour. Two empty fingerprints are alike (1.0), an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm.common import SLICE_BYTES, documents_of, mix, pair, slices
 
@@ -113,42 +114,86 @@ COMPARED = (
 )
 
 
+Key = tuple[int | None, int]
+
+
+def _range_bounds(frame: DataFrame, ranges: int) -> list[Key]:
+    """``(doc_id, tie)`` from which each range but the last starts, descending; about ``ranges`` of them.
+
+    Quantiles of the ids; an id that spans whole ranges, or the lack of one, is cut by the hashes of its texts.
+    """
+    shares = [k / ranges for k in range(1, ranges)]
+    if not shares:
+        return []
+    ids = F.col("doc_id")
+    found = frame.agg(
+        F.percentile_approx(ids, shares).alias("cuts"), F.count(F.lit(1)).alias("n"), F.count_if(ids.isNull()).alias("none")
+    ).first()  # one value per range
+    cuts = found["cuts"] or []
+    bounds: set[Key] = {(cut, _LEAST) for cut in cuts}
+    busy = {cut for cut in cuts if cuts.count(cut) > 1}
+    crowd = ids.isin(*busy) if busy else F.lit(False)
+    if found["none"] * ranges > found["n"]:
+        crowd = crowd | ids.isNull()
+    elif not busy:
+        return sorted(bounds, key=_order, reverse=True)
+    ties = frame.where(crowd).groupBy("doc_id").agg(F.percentile_approx("tie", shares).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    for row in ties.collect():  # ids that span a range: at most one per range
+        step = max(1, found["n"] // max(1, row["n"]))
+        bounds |= {(row["doc_id"], cut) for cut in row["cuts"][::step]}
+    return sorted(bounds, key=_order, reverse=True)
+
+
+_LEAST = -(2**63)
+
+
+def _order(key: Key) -> tuple[bool, int, int]:
+    """No id comes before all ids, as in Spark's order of structs."""
+    return key[0] is not None, key[0] or 0, key[1]
+
+
+def _key_literals(keys: list[Key]) -> Column:
+    one = lambda k: F.struct(F.lit(k[0]).cast("long").alias("doc_id"), F.lit(k[1]).cast("long").alias("tie"))
+    return F.array(*[one(k) for k in keys])
+
+
+def _range_of(key: Column, bounds: list[Key]) -> Column:
+    """Number of bounds above the key: whole blocks of bounds first, then one by one in the block."""
+    if not bounds:
+        return F.lit(0)
+    block = math.isqrt(len(bounds) - 1) + 1
+    lasts = _key_literals(bounds[block - 1::block]) if len(bounds) >= block else None
+    blocks = F.array(*[_key_literals(bounds[k:k + block]) for k in range(0, len(bounds), block)])
+    above = lambda keys: F.size(F.filter(keys, lambda b: b > key))
+    passed = above(lasts) if lasts is not None else F.lit(0)
+    inside = F.coalesce(above(F.get(blocks, passed)), F.lit(0))
+    return passed * block + F.greatest(inside, F.lit(0))
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's, by descending id."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frame = documents_of(docs).withColumn("tie", F.xxhash64("text"))
-    shares = [k / ranges for k in range(1, ranges)]
-    cuts = frame.agg(F.percentile_approx("doc_id", shares or [0.5]).alias("c")).first()["c"]  # one per range
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    def ranges_of(ids: pd.Series) -> np.ndarray:
-        """0 for the largest ids; documents without an id are in the last range."""
-        known = ids.notna().to_numpy()
-        part = np.full(len(ids), len(bounds), np.int64)
-        part[known] = len(bounds) - np.searchsorted(bounds, ids[known].astype(np.int64).to_numpy(), side="right")
-        return part
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(ranges_of(ids))
-
-    first = frame.groupBy(range_of("doc_id").alias("part")).agg(F.max(F.struct("doc_id", "tie")).alias("head"))
+    bounds = _range_bounds(frame, ranges)
+    key = F.struct("doc_id", "tie")
+    frame = frame.withColumn("part", _range_of(key, bounds).cast("int"))
+    first = frame.groupBy("part").agg(F.max(key).alias("head"))
     heads = sorted((r["part"], r["head"]["doc_id"], r["head"]["tie"]) for r in first.collect())  # one per range
-    head_of = {p: (i, t) for p, i, t in heads}
-    before = {p: heads[k - 1][0] for k, (p, _, _) in enumerate(heads)}
-
-    @F.pandas_udf("array<int>")
-    def dealt(ids: pd.Series, ties: pd.Series) -> pd.Series:
-        out = []
-        for part, one, tie in zip(ranges_of(ids).tolist(), ids.tolist(), ties.tolist()):
-            head, head_tie = head_of[part]
-            same = tie == head_tie and (one == head or (head is None and pd.isna(one)))
-            out.append([part, before[part]] if same else [part])
-        return pd.Series(out)
-
-    places = frame.select("doc_id", "tie", "text", F.posexplode(dealt("doc_id", "tie")).alias("guest", "part"))
-    ordered = places.repartitionById(max(1, len(bounds) + 1), "part").sortWithinPartitions(
+    place = F.lit(None).cast("int")
+    if heads:
+        # a range's head is also dealt to the last range before it that has rows; the very first to the very last
+        by_part = {p: (i, t) for p, i, t in heads}
+        last, before, keys = heads[-1][0], [], []
+        for p in range(heads[-1][0] + 1):
+            before.append(last)
+            keys.append(by_part.get(p, (None, 0)))
+            last = p if p in by_part else last
+        head = F.get(_key_literals(keys), F.col("part"))
+        place = F.when(head.eqNullSafe(key), F.get(F.array(*[F.lit(b).cast("int") for b in before]), F.col("part")))
+    dealt = F.when(place.isNotNull(), F.array(F.col("part"), place)).otherwise(F.array("part"))
+    places = frame.select("doc_id", "tie", "text", F.posexplode(dealt).alias("guest", "part"))
+    ordered = places.repartitionById(len(bounds) + 1, "part").sortWithinPartitions(
         "part", "guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc()
     )
     return ordered.select("part", "guest", "doc_id", "text").mapInArrow(_compare, COMPARED)
