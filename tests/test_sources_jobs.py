@@ -196,8 +196,36 @@ def test_queries_train_what_the_reference_trains(monkeypatch):
     with pytest.raises(Reached) as found:
         REGISTRY["feature_importance"].run(None, "")
     assert (found.value.args[0].params["n_estimators"], found.value.args[0].params["max_depth"]) == (200, 15)
-    monkeypatch.setattr(jobs, "sweep", lambda train, test, experiments, output: experiments)
-    swept = REGISTRY["experiment_sweep"].run(None, "")
+    def swept_over(train, test, experiments, output):
+        raise Reached(experiments)
+
+    monkeypatch.setattr(jobs, "sweep", swept_over)
+    with pytest.raises(Reached) as found:
+        REGISTRY["experiment_sweep"].run(None, "")
+    swept = found.value.args[0]
     assert [(e.params["n_estimators"], e.params["max_depth"]) for e in swept] == [
         (250, 3), (400, 3), (350, 2), (300, 4), (100, 10), (200, 15), (300, 8), (300, 8),
     ]
+
+
+def test_sweep_side_by_side_equals_one_by_one(spark, raw, tmp_path):
+    made = jobs.featurize(raw)
+    small = {"n_estimators": 4, "max_depth": 2, "random_state": 3}
+    experiments = [
+        scoring.Experiment("newton", "xgboost", "1", {**small, "scale_pos_weight": scoring.NEG_POS_RATIO}),
+        scoring.Experiment("boosted", "gradient_boosting", "2", small, threshold=0.3),
+        scoring.Experiment("forest", "random_forest", "3", {**small, "class_weight": "balanced"}),
+    ]
+    found = jobs.sweep(made.train, made.test, experiments, output=str(tmp_path / "s"))
+    each = {}
+    for e in experiments:
+        _, rows = jobs.train_and_evaluate(made.train.coalesce(1), made.test, e)
+        each |= {(r.model, r.metric): r.value for r in rows.collect()}
+    assert {(r.model, r.metric): r.value for r in found.collect()} == pytest.approx(each)
+    stored = spark.read.parquet(str(tmp_path / "s" / "scores"))
+    assert stored.count() == 3 * made.test.count()
+    history = spark.read.json(str(tmp_path / "s" / "metrics"))
+    assert {(r.model, r.model_version, r.algorithm) for r in history.collect()} == {
+        (e.name, e.version, e.algorithm) for e in experiments}
+    with pytest.raises(ValueError):
+        jobs.sweep(made.train, made.test, [])

@@ -16,7 +16,7 @@ from tidegauge.sources import sinks, tables
 
 _CLEAN = raw_customers_sql()
 
-# The parameters of the reference's experiment files, and of the model it serves ("current").
+# The parameters of the experiment files, and of the model that is served ("current").
 _BOOSTED = {"n_estimators": 250, "learning_rate": 0.05, "max_depth": 3, "min_samples_leaf": 10, "subsample": 0.9,
             "random_state": 42}
 _FOREST = {"n_estimators": 100, "max_depth": 10, "random_state": 42, "class_weight": "balanced"}
@@ -332,11 +332,40 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.feature_importance(scoring.train(through_table(made.train, "train"), FOREST), raw)
 
 
-@register("experiment_sweep")
+_SWEPT_SQL = ", ".join(f"('{e.name}', '{e.algorithm}', '{e.version}')" for e in EXPERIMENTS)
+
+
+@register(
+    "experiment_sweep",
+    f"""WITH {_CLEAN}, interim AS (SELECT DISTINCT "CreditScore", "Geography", "Gender", "Age", "Tenure", "Balance", "NumOfProducts", "HasCrCard",
+  "IsActiveMember", "EstimatedSalary", "Exited", "Complain", "Satisfaction Score", "Card Type", "Point Earned" FROM raw),
+sizes AS (SELECT "Exited", CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS t FROM interim GROUP BY 1)
+SELECT model, algorithm, model_version, (SELECT sum(t)::BIGINT FROM sizes) AS n_test, (SELECT sum(t)::BIGINT FROM sizes WHERE "Exited" = 1) AS n_positive,
+       7 AS n_metrics, TRUE AS agrees FROM (VALUES {_SWEPT_SQL}) e(model, algorithm, model_version)""",
+)
 def experiment_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """The eight experiments over the same split."""
+    """The eight experiments over the same split; their recorded metrics against SQL over the stored scores."""
     _, made = _feature_set(spark, folder)
-    return jobs.sweep(made.train, made.test, EXPERIMENTS, output=scratch_path(spark, "sweep"))
+    output = scratch_path(spark, "sweep")
+    jobs.sweep(made.train, made.test, EXPERIMENTS, output=output)
+    recorded = spark.read.json(f"{output}/metrics")
+    return spark.sql(
+        """WITH cells AS (
+  SELECT model, count(*) AS n_test, count_if(label = 1) AS n_positive, count_if(label = 1 AND score >= 0.5) AS tp,
+         count_if(label = 0 AND score >= 0.5) AS fp, count_if((label = 1) = (score >= 0.5)) AS right
+  FROM {scores} WHERE score BETWEEN 0 AND 1 GROUP BY model),
+found AS (
+  SELECT model, algorithm, model_version, count(*) AS n_metrics, count_if(NOT value BETWEEN 0 AND 1) AS odd,
+         max(value) FILTER (WHERE metric = 'accuracy') AS accuracy, max(value) FILTER (WHERE metric = 'precision') AS `precision`,
+         max(value) FILTER (WHERE metric = 'recall') AS recall, max(value) FILTER (WHERE metric = 'f1') AS f1
+  FROM {recorded} GROUP BY ALL)
+SELECT model, algorithm, model_version, n_test, n_positive, CAST(n_metrics AS INT) AS n_metrics,
+       odd = 0 AND abs(accuracy - right / n_test) < 1e-9 AND abs(`precision` - coalesce(try_divide(tp, tp + fp), 0)) < 1e-9
+       AND abs(recall - coalesce(try_divide(tp, n_positive), 0)) < 1e-9
+       AND abs(f1 - coalesce(try_divide(2 * tp, n_positive + tp + fp), 0)) < 1e-9 AS agrees
+FROM cells JOIN found USING (model)""",
+        scores=spark.read.parquet(f"{output}/scores"), recorded=recorded,
+    )
 
 
 @register("retrain_decision")

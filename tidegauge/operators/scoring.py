@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge import schemas
 from tidegauge.functions import text as tx
 from tidegauge.functions.numeric import threshold_class
-from tidegauge.operators import contracts, featurestore
+from tidegauge.operators import boosting, contracts, featurestore
 
 NEG_POS_RATIO = "__neg_pos_ratio__"
 
@@ -31,48 +32,95 @@ class Experiment:
 
 
 # How parameter names of the experiment files map onto the estimators.
-_TREE = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "subsample": "subsamplingRate",
-         "random_state": "seed"}
+_BOOSTED = {"n_estimators": "rounds", "learning_rate": "rate", "max_depth": "depth", "subsample": "row_share",
+            "random_state": "seed"}
 _NAMES = {
-    "gradient_boosting": {**_TREE, "n_estimators": "maxIter", "learning_rate": "stepSize"},
-    "xgboost": {**_TREE, "n_estimators": "maxIter", "learning_rate": "stepSize"},
-    "random_forest": {**_TREE, "n_estimators": "numTrees"},
-    "logistic_regression": {"max_iter": "maxIter"},
+    "gradient_boosting": {**_BOOSTED, "min_samples_leaf": "least_leaf_rows", "min_samples_split": "least_split_rows",
+                          "max_features": "split_features"},
+    "xgboost": {**_BOOSTED, "colsample_bytree": "tree_features", "min_child_weight": "least_hessian",
+                "gamma": "least_gain", "reg_alpha": "l1", "reg_lambda": "l2", "max_bin": "max_bin",
+                "base_score": "base_score"},
+    "random_forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
+                      "random_state": "seed", "max_features": "featureSubsetStrategy", "bootstrap": "bootstrap"},
+    "logistic_regression": {"max_iter": "maxIter", "C": "regParam", "penalty": "elasticNetParam"},
 }
-# Boosted trees of the optional library are trained with Spark's own boosting.
-_ESTIMATORS = {
-    "gradient_boosting": GBTClassifier,
-    "xgboost": GBTClassifier,
-    "random_forest": RandomForestClassifier,
-    "logistic_regression": LogisticRegression,
+# What a boosted model starts from; others start from the estimator's own defaults.
+_DEFAULTS = {
+    "gradient_boosting": boosting.Rules(rate=0.1, depth=3, newton=False, l2=0.0, least_hessian=0.0),
+    "xgboost": boosting.Rules(),
 }
+_ESTIMATORS = {"random_forest": RandomForestClassifier, "logistic_regression": LogisticRegression}
 _WEIGHTS = {"class_weight", "scale_pos_weight"}
 
-
-# Parameters that are taken and have no counterpart here: they steer how the original libraries work.
+# Parameters that change how the original libraries run and not what they learn.
 _WITHOUT_EFFECT = {
-    "gradient_boosting": {"min_samples_split", "max_features"},
-    "xgboost": {"n_jobs", "eval_metric", "colsample_bytree", "min_child_weight", "gamma", "reg_alpha", "reg_lambda",
-                "tree_method", "objective", "use_label_encoder", "verbosity"},
-    "random_forest": {"n_jobs", "min_samples_split", "max_features", "bootstrap"},
-    "logistic_regression": {"n_jobs", "solver", "random_state", "penalty", "C"},
+    "gradient_boosting": {"verbose"},
+    "xgboost": {"n_jobs", "eval_metric", "use_label_encoder", "verbosity"},
+    "random_forest": {"n_jobs", "verbose"},
+    "logistic_regression": {"n_jobs", "solver", "random_state", "verbose"},
+}
+# Parameters that are taken with these values only.
+_ONLY = {
+    "gradient_boosting": {"loss": {"log_loss"}},
+    "xgboost": {"objective": {"binary:logistic"}, "tree_method": {"auto", "hist", "approx"}, "booster": {"gbtree"}},
+    "random_forest": {"min_samples_split": {2}, "criterion": {"gini"}},
+    "logistic_regression": {},
 }
 
 
-def build_classifier(algorithm: str, params: Mapping[str, object], weighted: bool = False):
-    """Estimator by name; a parameter that is not known at all is an error."""
-    if algorithm not in _ESTIMATORS:
-        raise ValueError(f"unknown algorithm {algorithm!r}; known: {', '.join(sorted(_ESTIMATORS))}")
-    names = _NAMES[algorithm]
-    unknown = sorted(set(params) - set(names) - _WEIGHTS - _WITHOUT_EFFECT[algorithm])
+def build_classifier(
+    algorithm: str, params: Mapping[str, object], weighted: bool = False, rows: int | None = None,
+    features: int = len(schemas.FEATURES),
+):
+    """Estimator by name; a parameter that would be left out of the model is an error.
+
+    ``rows`` is the number of training rows, which the strength ``C`` of a logistic regression is relative to.
+    """
+    if algorithm not in _NAMES:
+        raise ValueError(f"unknown algorithm {algorithm!r}; known: {', '.join(sorted(_NAMES))}")
+    names, only = _NAMES[algorithm], _ONLY[algorithm]
+    unknown = sorted(set(params) - set(names) - _WEIGHTS - _WITHOUT_EFFECT[algorithm] - set(only))
     if unknown:
         raise ValueError(f"unknown parameters of {algorithm}: {', '.join(unknown)}")
+    for name, values in only.items():
+        if params.get(name) is not None and params[name] not in values:
+            raise ValueError(f"{name}={params[name]!r} of {algorithm} is not supported")
     known = {names[k]: v for k, v in params.items() if k in names and v is not None}
+    if algorithm in _DEFAULTS:
+        if "split_features" in known:
+            known["split_features"] = _features_per_split(known["split_features"], features)
+        rules = replace(_DEFAULTS[algorithm], **known)
+        return boosting.NewtonBoosting("_features", "_label", rules, "_weight" if weighted else None)
+    if algorithm == "random_forest" and "max_features" in params:
+        chosen = params["max_features"]
+        known["featureSubsetStrategy"] = "all" if chosen is None else str(_features_per_split(chosen, features))
+    if algorithm == "logistic_regression":
+        penalty = params.get("penalty", "l2")
+        if penalty not in ("l1", "l2", None):
+            raise ValueError(f"penalty={penalty!r} of {algorithm} is not supported")
+        known["elasticNetParam"] = 1.0 if penalty == "l1" else 0.0
+        if penalty is None:
+            known["regParam"] = 0.0
+        elif "C" in params or "penalty" in params:
+            if rows is None:
+                raise ValueError("the strength of a penalty needs the number of rows")
+            known["regParam"] = 1.0 / (float(params.get("C", 1.0)) * rows)
     if weighted:
         known["weightCol"] = "_weight"
     return _ESTIMATORS[algorithm](featuresCol="_features", labelCol="_label", **known)
 
 
+def _features_per_split(chosen: object, features: int) -> int:
+    """Number of features tried at a split: a number, a share, ``sqrt`` or ``log2``."""
+    if chosen == "sqrt":
+        return max(1, math.isqrt(features))
+    if chosen == "log2":
+        return max(1, int(math.log2(features)))
+    if isinstance(chosen, float):
+        return max(1, int(chosen * features))
+    return int(chosen)
+
+
 def load_scorer(path: str) -> PipelineModel:
     """A pipeline that was saved after training, ready to score without its training data."""
     return PipelineModel.load(path)
@@ -108,7 +156,8 @@ def train(
         rows = rows.withColumn("_weight", weight)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     params = {k: v for k, v in experiment.params.items() if k not in _WEIGHTS}
-    classifier = build_classifier(experiment.algorithm, params, weight is not None)
+    count = df.count() if {"C", "penalty"} & set(params) else None
+    classifier = build_classifier(experiment.algorithm, params, weight is not None, count, len(features))
     return Pipeline(stages=[assembler, classifier]).fit(rows)
 
 

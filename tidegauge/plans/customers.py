@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge import schemas
@@ -167,41 +171,85 @@ def monitor_drift(
 # --- training ---------------------------------------------------------------
 
 
+def score_test(model, test: DataFrame, experiment: scoring.Experiment, features: Sequence[str], label: str) -> DataFrame:
+    """``(model, id, label, score)`` of the test rows, stored once."""
+    keyed = test.withColumn("_id", F.xxhash64(*[F.col(f"`{c}`") for c in features]))
+    scored = scoring.score(model, keyed, experiment.threshold).select(
+        F.lit(experiment.name).alias("model"), F.col("_id").alias("id"),
+        F.col(label).alias("label"), F.col("churn_probability").alias("score"),
+    )
+    return through_table(scored, "scored")
+
+
 def train_and_evaluate(
     train: DataFrame, test: DataFrame, experiment: scoring.Experiment,
     features: Sequence[str] = schemas.FEATURES, label: str = schemas.TARGET, output: str | None = None,
 ):
     """Fit one experiment and return the model with its metric rows."""
     model = scoring.train(train, experiment, features, label)
-    keyed = test.withColumn("_id", F.xxhash64(*[F.col(f"`{c}`") for c in features]))
-    scored = scoring.score(model, keyed, experiment.threshold).select(
-        F.lit(experiment.name).alias("model"), F.col("_id").alias("id"),
-        F.col(label).alias("label"), F.col("churn_probability").alias("score"),
-    )
-    found = metrics.evaluate(through_table(scored, "scored"), threshold=experiment.threshold)
+    found = metrics.evaluate(score_test(model, test, experiment, features, label), threshold=experiment.threshold)
     if output:
         model.write().overwrite().save(f"{output}/{experiment.name}")
-        sinks.append_history(
-            found.withColumns(
-                {"model_version": F.lit(experiment.version), "algorithm": F.lit(experiment.algorithm)}
-            ),
-            f"{output}/metrics",
-        )
+        sinks.append_history(with_versions(found, [experiment]), f"{output}/metrics")
     return model, found
 
 
+def with_versions(found: DataFrame, experiments: Sequence[scoring.Experiment]) -> DataFrame:
+    """Metric rows with the version and algorithm of their models."""
+    def of(field: str):
+        return F.create_map(*[F.lit(x) for e in experiments for x in (e.name, getattr(e, field))])[F.col("model")]
+
+    return found.withColumns({"model_version": of("version"), "algorithm": of("algorithm")})
+
+
+# Bytes of training rows in a partition, and experiments trained at once.
+_TRAIN_BYTES = 64 << 20
+SIDE_BY_SIDE = 8
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """As many partitions as the rows' bytes need, so that the many short jobs of a training have few tasks."""
+    parts = max(1, math.ceil(df.count() * len(df.columns) * 8 / _TRAIN_BYTES))
+    return df.coalesce(parts) if df.rdd.getNumPartitions() > parts else df.repartition(parts)
+
+
 def sweep(
     train: DataFrame, test: DataFrame, experiments: Sequence[scoring.Experiment],
     features: Sequence[str] = schemas.FEATURES, label: str = schemas.TARGET, output: str | None = None,
+    side_by_side: int = SIDE_BY_SIDE,
 ) -> DataFrame:
-    """Metric rows of several experiments over the same training rows."""
+    """Metric rows of several experiments over the same training rows.
+
+    The rows are cached once. Each experiment is driven by a thread of its own, in a scheduler pool of its name, as the
+    jobs of one training are short and leave most of a cluster idle. Stored scores are evaluated together.
+    """
     if not experiments:
         raise ValueError("no experiment given")
-    train = through_table(train, "train")
+    spark = train.sparkSession
+    rows = sized(through_table(train, "train")).persist()
+    held_out = through_table(test, "test")
+
+    def one(experiment: scoring.Experiment) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", experiment.name)
+        model = scoring.train(rows, experiment, features, label)
+        if output:
+            model.write().overwrite().save(f"{output}/{experiment.name}")
+        return score_test(model, held_out, experiment, features, label)
+
+    try:
+        with ThreadPoolExecutor(side_by_side) as pool:
+            futures = [pool.submit(inheritable_thread_target(spark)(one), e) for e in experiments]
+            scores = [future.result() for future in futures]
+    finally:
+        rows.unpersist()
     results = None
-    for experiment in experiments:
-        _, found = train_and_evaluate(train, test, experiment, features, label, output)
+    for threshold in sorted({e.threshold for e in experiments}):
+        same = [s for e, s in zip(experiments, scores) if e.threshold == threshold]
+        found = metrics.evaluate(reduce(DataFrame.unionByName, same), threshold=threshold)
         results = found if results is None else results.unionByName(found)
+    if output:
+        sinks.append_history(with_versions(results, experiments), f"{output}/metrics")
+        sinks.write_table(reduce(DataFrame.unionByName, scores), f"{output}/scores")
     return results
 
 
