@@ -214,3 +214,17 @@ def test_every_reference_experiment_can_be_built(spark):
         built = scoring.build_classifier(algorithm, params)
         rounds = built.getNumTrees() if algorithm == "random_forest" else built.getMaxIter()
         assert (rounds, built.getMaxDepth()) == (params["n_estimators"], params["max_depth"])
+
+
+def test_split_is_the_same_by_broadcast_or_by_salted_classes(spark, monkeypatch):
+    rows = spark.range(900).selectExpr("id", "if(id % 3 = 0, 'busy', concat('c', id % 40)) as y").repartition(4)
+    sent = {tuple(r) for r in cleaning.stratified_split(rows, "y", "id").collect()}
+    plan = cleaning.stratified_split(rows, "y", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(cleaning, "_SENT_CLASSES", 0)
+    assert {tuple(r) for r in cleaning.stratified_split(rows, "y", "id").collect()} == sent
+    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    test = {}
+    for _, y, split in sent:
+        test[y] = test.get(y, 0) + (split == "test")
+    assert test == {y: -(-n // 5) for y, n in counts.items()}

@@ -47,3 +47,44 @@ def test_quantile_within_equals_numpy(spark):
         values = [x for key, x in rows if key == k]
         assert got[k][0] == len(values) and abs(got[k][1] - np.quantile(values, 0.95)) < 1e-12
     assert got["e"] == (1, 0.5) and "f" not in got
+
+
+def test_segmented_scan_over_busy_keys_and_many_ranges(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        key = rng.choice(["a"] * 12 + ["b", "c", None, "d"])
+        rows.append((key, i, rng.randint(-3, 3), (i, f"v{i}") if rng.random() < 0.1 else None))
+    layout = "k string, t int, d int, v struct<at:int,text:string>"
+    data = spark.createDataFrame(rows, layout).repartition(4)
+    sums, last, expected = {}, {}, {}
+    for k, t, d, v in rows:
+        sums[k] = sums.get(k, 0) + d
+        last[k] = v or last.get(k)
+        expected[t] = (sums[k], last[k])
+    for parts in (1, 7, 40):
+        found = ranking.segmented_scan(data, ["k"], [F.col("t")], {"s": F.col("d")}, {"v": F.col("v")}, parts)
+        got = {r["t"]: (r["s"], tuple(r["v"]) if r["v"] else None) for r in found.collect()}
+        assert got == expected
+    assert ranking.segmented_scan(data.limit(0), ["k"], [F.col("t")], {"s": F.col("d")}).count() == 0
+    whole = ranking.segmented_scan(data, [], [F.col("t")], {"s": F.col("d")}, partitions=5).collect()
+    total, upto = 0, {}
+    for _, t, d, _ in rows:
+        total += d
+        upto[t] = total
+    assert {r["t"]: r["s"] for r in whole} == upto
+
+
+def test_scans_leave_no_join_in_the_plan(spark):
+    from tidegauge.operators import featurestore, metrics, opsmetrics
+
+    rows = spark.createDataFrame([("m", i, i % 2, i / 10) for i in range(50)], "model string, id long, label int, score double")
+    times = rows.select("model", "id", F.timestamp_seconds(F.col("id")).alias("t"), "score")
+    frames = [
+        metrics.top_fraction_metrics(rows, ["model"]),
+        opsmetrics.in_flight(times, "model", "t", "id", F.lit(1)),
+        featurestore.as_of(times.select("model", "t", "id"), times, "model", "t", "t", ["score"]),
+    ]
+    for frame in frames:
+        assert "Join" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["score"] for r in frames[2].collect()} == {i: i / 10 for i in range(50)}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.hashing import row_fingerprint, uniform
-from tidegauge.operators.ranking import running_totals
+from tidegauge.operators.ranking import segmented_scan
 from tidegauge.session import durable
 
 
@@ -76,14 +76,15 @@ def split_cuts(df: DataFrame, target: str, row_id: str, fraction: float = 0.2, s
                 (F.col("wanted") - (F.col("upto") - F.col("n"))).alias("need"))
     )
     near = rows.join(cut, F.col("y").eqNullSafe(F.col("cy")) & (F.col("bin") == F.col("cbin")))
-    ranked = running_totals(
-        near.select("y", "u", "id", "need"), [F.col("y"), F.col("u"), F.col("id")], {"place": F.lit(1)}
+    ranked = segmented_scan(
+        near.select("y", "u", "id", "need"), ["y"], [F.col("u"), F.col("id")], {"place": F.lit(1)}
     )
-    starts = ranked.groupBy(F.col("y").alias("sy")).agg((F.min("place") - 1).alias("start"))
-    edge = ranked.join(starts, F.col("y").eqNullSafe(F.col("sy"))).where(
-        F.col("place") - F.col("start") == F.col("need")
-    )
-    return edge.select("y", F.col("u").alias("cut_u"), F.col("id").alias("cut_id"))
+    return ranked.where(F.col("place") == F.col("need")).select("y", F.col("u").alias("cut_u"), F.col("id").alias("cut_id"))
+
+
+# Classes whose cuts go to all tasks, and the groups that a class is dealt to when there are more.
+_SENT_CLASSES = 500_000
+_SALTS = 64
 
 
 def stratified_split(
@@ -91,14 +92,23 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` ('train' or 'test'), the same for any partitioning of the rows.
 
-    The cuts, one row per class, are joined to the rows.
+    The cuts, one short row per class, are stored and counted. They are sent to all tasks while there are few; more of
+    them meet the rows by class and a salt of the row, so that a busy class is spread.
     """
-    cuts = split_cuts(df, target, row_id, fraction, seed).select(
-        F.col("y").alias("_cut_y"), F.col("cut_u").alias("_cut_u"), F.col("cut_id").alias("_cut_id")
+    cuts = durable(
+        split_cuts(df, target, row_id, fraction, seed).select(
+            F.col("y").alias("_cut_y"), F.col("cut_u").alias("_cut_u"), F.col("cut_id").alias("_cut_id")
+        )
     )
     draw = uniform(F.col(row_id), seed, "split")
     before = (draw < F.col("_cut_u")) | ((draw == F.col("_cut_u")) & (F.col(row_id) <= F.col("_cut_id")))
-    joined = df.join(cuts, F.col(target).eqNullSafe(F.col("_cut_y")), "left")
+    same = F.col(target).eqNullSafe(F.col("_cut_y"))
+    if cuts.count() <= _SENT_CLASSES:
+        joined = df.join(F.broadcast(cuts), same, "left")
+    else:
+        spread = cuts.withColumn("_cut_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(_SALTS)).cast("int"))
+        joined = salted.join(spread, same & (F.col("_salt") == F.col("_cut_salt")), "left").drop("_salt", "_cut_salt")
     split = F.when(F.coalesce(before, F.lit(False)), F.lit("test")).otherwise(F.lit("train"))
     return joined.withColumn("split", split).drop("_cut_y", "_cut_u", "_cut_id")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge import schemas
 from tidegauge.functions.dates import minute_timestamp
 from tidegauge.operators.contracts import LOOKUP_MISSING
-from tidegauge.operators.ranking import dense_index, latest_per_key, running_totals
+from tidegauge.operators.ranking import dense_index, latest_per_key, segmented_scan
 
 START = "2024-01-01 00:00:00"
 VERSIONS = ["event_timestamp", "created_timestamp"]
@@ -92,12 +92,10 @@ def as_of(
 ) -> DataFrame:
     """Point-in-time features: per label the newest fact not after it and within the time to live.
 
-    Labels and facts are laid in one order of (key, time); a running count numbers
-    the facts and tells each label the number of the last fact before it. The two
-    then meet in an equi-join on that number. No pair of rows is formed, and
-    neither a busy key nor a busy day ends in one task. A fact at the label's own
-    time is visible to it; of facts with one key, time and creation time the one with
-    the greatest content hash counts.
+    Labels and facts are laid in one order of (key, time), and one scan carries the last fact of a key to the
+    labels after it. No pair of rows is formed, nothing is joined, and neither a busy key nor a busy day
+    ends in one task. A fact at the label's own time is visible to it; of facts with one key, time and
+    creation time the one with the greatest content hash counts. A label without a key sees nothing.
     """
     sides = facts.select(
         F.col(key),
@@ -116,15 +114,14 @@ def as_of(
     )
     is_fact = F.col("_side") == 0
     # rows of one instant are told apart by their content, so their order does not depend on the partitioning
-    numbered = running_totals(
+    scanned = segmented_scan(
         sides.withColumn("_tie", F.xxhash64("_fact", "_label")),
-        [F.col(key), F.col("_time"), F.col("_side"), F.col("_created"), F.col("_tie")],
-        {"_number": is_fact.cast("long")},
+        [key],
+        [F.col("_time"), F.col("_side"), F.col("_created"), F.col("_tie")],
+        carried={"_fact": F.col("_fact")},
     )
-    known = numbered.where(is_fact).select(F.col(key).alias("_key"), "_number", "_fact")
-    asked = numbered.where(~is_fact).select(F.col(key).alias("_asked"), "_time", "_number", "_label")
-    met = asked.join(known, "_number", "left")
-    usable = F.col("_key") == F.col("_asked")
+    met = scanned.where(~is_fact)
+    usable = F.col(key).isNotNull()
     if ttl is not None:
         usable = usable & (F.col("_fact._at") > F.col("_time") - F.expr(f"INTERVAL {ttl}"))
     visible = F.when(usable, F.col("_fact"))

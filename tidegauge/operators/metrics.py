@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.numeric import ratio
-from tidegauge.operators.ranking import running_totals, top_count
+from tidegauge.operators.ranking import running_totals, segmented_scan, top_count, with_key_sums
 
 RECALL_FRACTION, PRECISION_FRACTION = 0.25, 0.20
 
@@ -84,18 +84,10 @@ def ranked_within(
     Adds ``rank`` and the key's row and positive counts ``n`` and ``positives``
     (from the column ``label``).
     """
-    order = [*[F.col(k) for k in keys], F.col(score).desc(), F.col(row_id)]
-    ranked = running_totals(df, order, {"_place": F.lit(1)})
-    sizes = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("label") == 1).alias("positives"),
-        (F.min("_place") - 1).alias("_start"),
-    )
-    if keys:
-        joined = ranked.join(sizes, list(keys))
-    else:
-        joined = ranked.withColumn("_one", F.lit(1)).join(sizes.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return joined.withColumn("rank", F.col("_place") - F.col("_start")).drop("_place", "_start")
+    sums = {"n": F.count(F.lit(1)), "positives": F.count_if(F.col("label") == 1)}
+    whole, carried = with_key_sums(df, keys, sums)
+    order = [F.col("_row"), F.col(score).desc(), F.col(row_id)]
+    return segmented_scan(whole, keys, order, {"rank": F.col("_row")}, carried).where("_row = 1").drop("_row")
 
 
 def top_fraction_metrics(
@@ -115,8 +107,8 @@ def top_fraction_metrics(
     k_recall, k_precision = top_count(F.col("n"), recall_fraction), top_count(F.col("n"), precision_fraction)
     hit = F.col("label") == 1
     summary = ranked.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.first("positives").alias("positives"),
+        F.max("n").alias("n"),
+        F.max("positives").alias("positives"),
         F.count_if(hit & (F.col("rank") <= k_recall)).alias("hits_recall"),
         F.count_if(hit & (F.col("rank") <= k_precision)).alias("hits_precision"),
     )
