@@ -116,7 +116,11 @@ def error_share(spark: SparkSession, folder: str) -> DataFrame:
 
 def phases(spark: SparkSession, folder: str) -> DataFrame:
     """A start and a finish row per request; the recorded value is its length in seconds."""
-    events = table(spark, folder, "events").withColumn("ts", moment("ts"))
+    return as_phases(table(spark, folder, "events").withColumn("ts", moment("ts")))
+
+
+def as_phases(events: DataFrame) -> DataFrame:
+    """Start and finish rows of events, batch or stream."""
     finish = F.timestamp_add("SECOND", F.ceil("value").cast("int"), F.col("ts"))
     both = F.array(
         F.struct(F.lit("start").alias("phase"), F.col("ts").alias("at")),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.catalog.base import moment, register, table
-from tidegauge.catalog.operations import BOUNDS, _REQUESTS_SQL, _SLIDES_SQL, _quantile_sql, _stamped, as_requests
+from tidegauge.catalog.operations import BOUNDS, _REQUESTS_SQL, _SLIDES_SQL, _quantile_sql, _stamped, as_phases, as_requests
 from tidegauge.catalog.drift import NUMBERS, SPLIT, _SHIPMENTS_SQL, _psi_sql
 from tidegauge.catalog.store import _LATEST_SQL
 from tidegauge.functions import text as tx
 from tidegauge.operators import drift, featurestore
 from tidegauge.session import scratch_path
-from tidegauge.streaming import logs
+from tidegauge.streaming import logs, requests
 
 _STAMP = "%Y-%m-%d %H:%M:%S"
 
@@ -196,3 +196,22 @@ def stream_in_flight(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "gauge")
     logs.run_available(logs.in_flight(phases, "endpoint", F.col("delta")), logs.per_batch_table(path), "update")
     return _last_batch(spark, path, ["endpoint"])
+
+
+@register(
+    "stream_request_lifetimes",
+    """WITH req AS (SELECT event_id, event_type AS endpoint, epoch_ms(ts) AS s, epoch_ms(ts + to_seconds(ceil(value)::INTEGER)) AS f, event_id % 7 = 0 AS lost FROM events),
+line AS (SELECT max(CASE WHEN lost THEN s ELSE f END) - 600000 AS w FROM req),
+judged AS (SELECT endpoint, CASE WHEN lost AND s + 60000 > w THEN 'open' WHEN lost OR f - s > 60000 THEN 'expired' ELSE 'finished' END AS outcome FROM req, line)
+SELECT endpoint, count(*) AS started, count(*) FILTER (outcome = 'finished') AS finished, count(*) FILTER (outcome = 'expired') AS expired,
+       count(*) FILTER (outcome = 'open') AS in_flight FROM judged GROUP BY 1""",
+)
+def stream_request_lifetimes(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests under way per endpoint after all events; a seventh never finishes and expires after a minute."""
+    events = stream(spark, folder, "events").withColumn("ts", moment("ts"))
+    seen = as_phases(events).where((F.col("event_id") % 7 != 0) | (F.col("phase") == "start"))
+    path = scratch_path(spark, "in-flight")
+    with requests.use_rocks(spark):
+        changes = requests.gauge_changes(seen, "event_id", "endpoint", "phase", "at", 60)
+        logs.run_available(changes, logs.per_batch_table(path))
+    return requests.under_way(spark.read.parquet(path), ["endpoint"])
