@@ -119,3 +119,28 @@ def test_best_fit_takes_the_tightest_bin():
     assert packing.best_fit([5, 6, 4, 5], 10) == [[1, 2], [0, 3]]
     bins = packing.best_fit([1100] * 5 + [948] * 5, 2048)
     assert len(bins) == 5
+
+
+def test_query_digests_the_spans_of_all_pieces(spark):
+    import hashlib
+    import os
+
+    from tidegauge.llm.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabularies.path("piece_bpe_32k.model"))
+    found = {r.doc_id: r for r in QUERIES["op9_sentencepiece"](spark, folder).collect()}
+    checked = 0
+    for row in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        text, ends, at = row.text or "", [], 0
+        pieces_ = library.encode(text, return_type="proto").pieces
+        if any(library.is_byte(p.id) for p in pieces_):
+            continue
+        for piece in pieces_:
+            at += len(piece.surface.encode())
+            ends.append(at)
+        assert found[row.doc_id].ends_sha256 == hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()
+        checked += 1
+    assert checked > 20

@@ -204,6 +204,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("last_byte"),
+        # pieces follow each other without gaps, so their ends are their spans
+        F.sha2(F.array_join(F.col("ends").cast("array<string>"), ","), 256).alias("ends_sha256"),
     )
 
 
