@@ -12,6 +12,7 @@ from tidegauge.functions import text as tx
 from tidegauge.operators import drift, featurestore
 from tidegauge.session import scratch_path
 from tidegauge.streaming import logs, requests
+from tidegauge.streaming.online import OnlineTable
 
 _STAMP = "%Y-%m-%d %H:%M:%S"
 
@@ -106,6 +107,32 @@ def stream_latest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register(
+    "stream_latest_compacted",
+    f"""WITH {_LATEST_SQL} SELECT customer_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_timestamp, event_id AS created, event_type, value, 1 AS n_folders FROM latest""",
+)
+def stream_latest_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The online table fed by three micro-batches, compacted after the second and at the end, read by its manifest."""
+    facts = table(spark, folder, "events").select(
+        F.col("user_id").alias("customer_id"), moment("ts").alias("event_timestamp"),
+        F.col("event_id").alias("created"), "event_type", "value",
+    )
+    arrivals, state = scratch_path(spark, "arrivals"), scratch_path(spark, "online-checkpoint")
+    online = OnlineTable(spark, scratch_path(spark, "online"), ["customer_id"], ["event_timestamp", "created"])
+    for part in range(3):
+        facts.where(F.pmod(F.col("created"), F.lit(3)) == part).write.mode("append").parquet(arrivals)
+        incoming = spark.readStream.schema(facts.schema).parquet(arrivals)
+        logs.run_available(incoming, online.handler("facts"), checkpoint=state)
+        if part:
+            online.compact()
+    return online.read().withColumns(
+        {
+            "event_timestamp": F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+            "n_folders": F.lit(len(online.manifest()["folders"])),
+        }
+    )
+
+
 @register(
     "stream_drift",
     f"""WITH {_SHIPMENTS_SQL}, {_psi_sql('ship', NUMBERS, 'is_ref')}
