@@ -9,7 +9,8 @@ Sample: per class, the ``SAMPLE`` labelled training rows with the smallest hashe
 intercept is corrected to the class shares among all training labels.
 
 Defined results: a null or empty text has statistics 0 and is scored by the rules like any other;
-rows without an id count as held in; repeated rows get equal scores; without labels of both
+rows without an id read as the empty text, whose crc32 is 0, so the query holds them out, and they are
+never learned from; repeated rows get equal scores; without labels of both
 classes every score is the share of good labels, or 0.5 without labels.
 """
 
