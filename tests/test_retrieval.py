@@ -117,3 +117,17 @@ def test_patterns_take_folders_and_broken_bytes_are_dropped(spark, tmp_path):
     texts = {r["source"].rsplit("/", 1)[1]: r["text"] for r in
              corpus.read_text(corpus.discover(spark, str(tmp_path), ["docs/*.md"])).collect()}
     assert texts == {"one.md": "caf\u00e9 broken \ufffd kept"}
+
+
+def test_packing_time_is_linear_in_the_paragraphs(spark):
+    import time
+
+    took = {}
+    for n in (2_000, 2_000, 16_000):
+        text = "\n\n".join(f"paragraph {k} of a long document with some words in it" for k in range(n))
+        data = spark.createDataFrame([("d", text)], "source string, text string")
+        began = time.time()
+        got = [r.text for r in retrieval.chunk_documents(data, size=120, overlap=20).orderBy("chunk_id").collect()]
+        took[n] = time.time() - began
+        assert got == plain_chunks(text, 120, 20)
+    assert took[16_000] < 30

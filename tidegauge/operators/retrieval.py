@@ -37,43 +37,48 @@ def _windows(paragraph: Column, size: int, overlap: int) -> Column:
     return F.filter(cuts, lambda c: c != "")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def chunk_texts(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Chunks of a normalised text as an array.
 
     Paragraphs are packed greedily up to ``size``; a longer one is cut into
-    windows. Packing folds over the paragraphs inside the JVM. The overlap seed
+    windows. Packing folds over the lengths of the paragraphs inside the JVM and
+    notes where each chunk starts; the texts are then joined once. The overlap seed
     left by a flush never survives: the paragraph that caused the flush either
     starts afresh or is cut into windows.
     """
     paragraphs = F.filter(
         F.transform(F.split(text, "\n\n"), lambda p: trim_block(p)), lambda p: p != ""
     )
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit("").alias("open"), empty.alias("done"))
 
     def add(state: Column, paragraph: Column) -> Column:
-        open_text, done = state["open"], state["done"]
-        joined = F.when(
-            open_text == "", paragraph
-        ).otherwise(F.concat(open_text, F.lit("\n\n"), paragraph))
-        flushed = F.when(open_text == "", done).otherwise(F.concat(done, F.array(trim_block(open_text))))
-        return (
-            F.when(F.length(joined) <= size, F.struct(joined.alias("open"), done.alias("done")))
-            .when(F.length(paragraph) <= size, F.struct(paragraph.alias("open"), flushed.alias("done")))
-            .otherwise(
-                F.struct(
-                    F.lit("").alias("open"),
-                    F.concat(flushed, _windows(paragraph, size, overlap)).alias("done"),
-                )
-            )
-        )
-
-    def finish(state: Column) -> Column:
-        return F.when(state["open"] == "", state["done"]).otherwise(
-            F.concat(state["done"], F.array(trim_block(state["open"])))
-        )
-
-    return F.aggregate(paragraphs, start, add, finish)
+        joined = state["open"] + 2 + paragraph["length"]
+        begun = F.concat(state["starts"], F.array(paragraph["place"]))
+        # nothing is open after a paragraph that is cut into windows
+        length = F.when(paragraph["length"] <= size, paragraph["length"]).otherwise(F.lit(0))
+        return F.when(
+            (state["open"] > 0) & (joined <= size), F.struct(joined.alias("open"), state["starts"].alias("starts"))
+        ).otherwise(F.struct(length.alias("open"), begun.alias("starts")))
+
+    def starts_of(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda p, k: F.struct(k.alias("place"), F.length(p).alias("length")))
+        none = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(lengths, none, add, lambda state: state["starts"])
+
+    def cut(parts: Column, starts: Column) -> Column:
+        def chunk(start: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(starts, k + 1), F.size(parts))
+            first = F.get(parts, start)
+            joined = F.array(F.array_join(F.slice(parts, start + 1, stop - start), "\n\n"))
+            return F.when(F.length(first) > size, _windows(first, size, overlap)).otherwise(joined)
+
+        return F.flatten(F.transform(starts, chunk))
+
+    return _bound(paragraphs, lambda parts: _bound(starts_of(parts), lambda starts: cut(parts, starts)))
 
 
 def chunk_documents(
