@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunks: boundaries from a gear rolling hash, digests of chunk runs.
 
-A chunk ends where the gear hash of the last 32 bytes is small, so boundaries depend on nearby bytes
-only and come back in step after an insertion. The unit that is looked up is the digest of
+A chunk ends where the gear hash of the last 8 bytes is small, so boundaries depend on nearby bytes
+only and come back in step soon after an insertion or at the head of a passage. The unit that is looked up is the digest of
 ``RUN`` neighbouring chunks, for every chunk. Of equal units the first (by document id, then place)
 stays; bytes under the others are removed where they form a stretch of at least ``LEAST`` bytes.
 Chunk ends that would split a UTF-8 character do not count.
@@ -29,8 +29,8 @@ from tidegauge.llm.common import documents_of, fresh, mix, pair, quoted, slices,
 # Mean bytes in a chunk, chunks in a unit, and the shortest stretch that is removed.
 MEAN_CHUNK = 16
 RUN = 4
-LEAST = 64
-_REACH = 32
+LEAST = 128
+_REACH = 8
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _SMALL = np.uint32(2**32 // MEAN_CHUNK)
 
