@@ -1,6 +1,6 @@
 """Substring dedup by content-defined chunks: boundaries from a gear rolling hash, digests of chunk runs.
 
-A chunk ends where the gear hash of the last 8 bytes is small, so boundaries depend on nearby bytes
+A chunk ends where the gear hash of the last 10 bytes is small, so boundaries depend on nearby bytes
 only and come back in step soon after an insertion or at the head of a passage. The unit that is looked up is the digest of
 ``RUN`` neighbouring chunks, for every chunk. Of equal units the first (by document id, then place)
 stays; bytes under the others are removed where they form a stretch of at least ``LEAST`` bytes.
@@ -30,8 +30,11 @@ from tidegauge.llm.common import documents_of, fresh, mix, pair, quoted, slices,
 MEAN_CHUNK = 16
 RUN = 4
 LEAST = 128
-_REACH = 8
-_GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+# Gear values fill the top bits of a word only, so that a byte is shifted out after as many steps.
+_REACH = 10
+_GEAR = (
+    mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _REACH) << np.uint64(32 - _REACH)
+).astype(np.uint32)
 _SMALL = np.uint32(2**32 // MEAN_CHUNK)
 
 UNITS = "key long, doc_id long, dk long, at int, known boolean"
