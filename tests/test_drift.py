@@ -138,3 +138,16 @@ def test_result_does_not_depend_on_partitioning(spark):
     once = drift.numeric_psi(reference, current, ["x"]).first()["psi"]
     again = drift.numeric_psi(reference.repartition(7), current.repartition(3), ["x"]).first()["psi"]
     assert once == pytest.approx(again, abs=1e-12)
+
+
+def test_numbers_and_texts_are_counted_in_one_pass(spark):
+    schema = "x double, a string, `odd name` string"
+    reference = spark.createDataFrame([(float(i), "0" if i % 2 else "b", None) for i in range(40)], schema)
+    current = spark.createDataFrame([(float(i + 20), "0" if i % 4 else "c", "new") for i in range(40)], schema)
+    edges, texts = drift.fit_edges(reference, None, ["x"]), ["a", "odd name"]
+    counts = [drift.count_values(side, edges, texts) for side in (reference, current)]
+    got = {r["feature"]: r["psi"] for r in drift.psi_from_values(*counts).collect()}
+    alone = drift.numeric_psi(reference, current, ["x"]).unionByName(drift.categorical_psi(reference, current, texts))
+    assert got == pytest.approx({r["feature"]: r["psi"] for r in alone.collect()}) and len(got) == 3
+    kinds = {(r["kind"], r["feature"]) for r in counts[1].collect()}
+    assert kinds == {("number", "x"), ("text", "a"), ("text", "odd name")}

@@ -143,7 +143,7 @@ def test_stream_drift_waits_for_enough_rows(spark, tmp_path):
     reference = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
     edges = drift.fit_edges(reference, None, ["x"])
     source = tmp_path / "in"
-    handler = logs.drift_decisions(drift.count_bins(reference, edges), str(tmp_path / "out"), 30)
+    handler = logs.drift_decisions(drift.count_values(reference, edges, []), str(tmp_path / "out"), 30)
     for n in (20, 40):
         spark.createDataFrame([(float(80 + i % 20),) for i in range(n)], "x double").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("x double").parquet(str(source))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.catalog.base import moment, register, table
 from tidegauge.catalog.operations import BOUNDS, _REQUESTS_SQL, _SLIDES_SQL, _quantile_sql, _stamped, as_phases, as_requests
@@ -152,7 +152,7 @@ def stream_drift(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = scratch_path(spark, "decisions")
     counts = logs.bin_counts(current, edges, SPLIT)
-    logs.run_available(counts, logs.drift_decisions(drift.count_bins(reference, edges), path), "complete")
+    logs.run_available(counts, logs.drift_decisions(drift.count_values(reference, edges, []), path), "complete")
     decisions = spark.read.parquet(path)
     # one decision row per batch
     newest = decisions.orderBy(F.col("batch_id").desc()).limit(1)
@@ -161,6 +161,65 @@ def stream_drift(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SHIPMENT_TEXTS = ["l_returnflag", "l_linestatus"]
+
+
+def _odd_texts() -> dict[str, Column]:
+    """Later shipments know a flag of their own; a fifth of all has no status, and one status is named '0'."""
+    later = F.col("l_shipdate") >= F.lit(SPLIT).cast("timestamp_ntz")
+    named = F.when(F.col("l_linestatus") == "F", F.lit("0")).otherwise(F.col("l_linestatus"))
+    return {
+        "l_returnflag": F.when(later & (F.col("l_orderkey") % 3 == 0), F.lit("X")).otherwise(F.col("l_returnflag")),
+        "l_linestatus": F.when(F.col("l_orderkey") % 5 != 0, named),
+    }
+
+
+_SHIPMENTS_MIXED_SQL = f"""ship AS (
+  SELECT l_quantity, l_discount, l_tax, is_ref, CASE WHEN is_ref THEN l_extendedprice ELSE l_extendedprice * 1.25::DOUBLE END AS l_extendedprice,
+         CASE WHEN NOT is_ref AND l_orderkey % 3 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag,
+         CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_linestatus = 'F' THEN '0' ELSE l_linestatus END AS l_linestatus
+  FROM (SELECT *, l_shipdate < TIMESTAMP '{SPLIT}' AS is_ref FROM lineitem))"""
+
+
+def _category_psi_sql(features: list[str]) -> str:
+    """The WITH parts that give ``tpsi``: indices of text features of ``ship``, by category."""
+    values = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, is_ref, coalesce(CAST({f} AS VARCHAR), '__missing__') AS bin FROM ship" for f in features
+    )
+    return f"""
+tvals AS ({values}),
+tgrid AS (SELECT feature, bin, count(*) FILTER (is_ref) AS rn, count(*) FILTER (NOT is_ref) AS cn FROM tvals GROUP BY ALL),
+tshares AS (SELECT feature, greatest(1e-6::DOUBLE, rn::DOUBLE / greatest(1, sum(rn) OVER (PARTITION BY feature))) AS rs,
+                   greatest(1e-6::DOUBLE, cn::DOUBLE / greatest(1, sum(cn) OVER (PARTITION BY feature))) AS cs FROM tgrid),
+tpsi AS (SELECT feature, sum((cs - rs) * ln(cs / rs)) AS psi FROM tshares GROUP BY feature)"""
+
+
+@register(
+    "stream_drift_mixed",
+    f"""WITH {_SHIPMENTS_MIXED_SQL}, {_psi_sql('ship', NUMBERS, 'is_ref')}, {_category_psi_sql(SHIPMENT_TEXTS)}
+SELECT feature, round(psi, 6) AS psi, CASE WHEN psi >= 0.2 THEN 'critical' WHEN psi >= 0.1 THEN 'warning' ELSE 'ok' END AS status,
+       (SELECT count(*) FROM ship WHERE NOT is_ref) AS current_row_count
+FROM (SELECT feature, psi FROM psi UNION ALL SELECT feature, psi FROM tpsi)""",
+)
+def stream_drift_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers and texts of later shipments as a stream against those before; a third of the later flags are new."""
+    cut = F.lit(SPLIT).cast("timestamp_ntz")
+    items = table(spark, folder, "lineitem").withColumns(_odd_texts())
+    reference = items.where(F.col("l_shipdate") < cut)
+    edges = drift.fit_edges(reference, None, NUMBERS)
+    current = stream(spark, folder, "lineitem").where(F.col("l_shipdate") >= cut).withColumns(
+        {"l_extendedprice": F.col("l_extendedprice") * 1.25, **_odd_texts()}
+    )
+    path = scratch_path(spark, "decisions")
+    counts = logs.bin_counts(current, edges, SPLIT, SHIPMENT_TEXTS)
+    reference_counts = drift.count_values(reference, edges, SHIPMENT_TEXTS)
+    logs.run_available(counts, logs.drift_decisions(reference_counts, path), "complete")
+    newest = spark.read.parquet(path).orderBy(F.col("batch_id").desc()).limit(1)  # one decision row per batch
+    return newest.select(F.explode("feature_psi").alias("feature", "psi"), "current_row_count").select(
+        "feature", F.round("psi", 6).alias("psi"), drift.status_band(F.col("psi")).alias("status"), "current_row_count"
+    )
+
+
 @register(
     "stream_drift_rows",
     f"""SELECT count(*) AS current_row_count, count(*) >= 30 AS decision_eligible FROM lineitem
@@ -178,7 +237,7 @@ def stream_drift_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = scratch_path(spark, "decisions")
     counts = logs.bin_counts(current, edges, SPLIT)
-    logs.run_available(counts, logs.drift_decisions(drift.count_bins(reference, edges), path), "complete")
+    logs.run_available(counts, logs.drift_decisions(drift.count_values(reference, edges, []), path), "complete")
     newest = spark.read.parquet(path).orderBy(F.col("batch_id").desc()).limit(1)  # one decision row per batch
     return newest.select("current_row_count", "decision_eligible")
 

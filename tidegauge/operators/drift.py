@@ -147,6 +147,48 @@ def count_categories(df: DataFrame, columns: list[str], keys: list[str] | None =
     )
 
 
+def count_values(
+    df: DataFrame, edges: Edges, categorical: list[str], keys: list[str] | None = None
+) -> DataFrame:
+    """Bins and categories counted in one aggregate: ``(*keys, kind, feature, bin, n)``.
+
+    ``kind`` is 'number' or 'text'. A stream in complete mode holds one aggregate only, so
+    that both kinds share it; its state is one number per bin and per category.
+    """
+    keys = keys or []
+    names = {f"n{i}": c for i, c in enumerate(edges)} | {f"t{i}": c for i, c in enumerate(categorical)}
+    placed = df.select(
+        *keys,
+        *[bin_number(c, edges[c]).cast("string").alias(f"n{i}") for i, c in enumerate(edges)],
+        *[
+            F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING)).alias(f"t{i}")
+            for i, c in enumerate(categorical)
+        ],
+    )
+    spelled = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return (
+        placed.unpivot(keys, list(names), "_slot", "bin")
+        .where(F.col("bin").isNotNull())
+        .groupBy(*keys, "_slot", "bin")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            *keys, F.when(F.col("_slot").startswith("n"), F.lit("number")).otherwise(F.lit("text")).alias("kind"),
+            F.element_at(spelled, F.col("_slot")).alias("feature"), "bin", "n",
+        )
+    )
+
+
+def psi_from_values(reference: DataFrame, current: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Stability index per feature from two counts of :func:`count_values`.
+
+    Only numbers have values outside all bins; a category named '0' is one like any other.
+    """
+    number, text = F.col("kind") == "number", F.col("kind") == "text"
+    return psi_from_counts(reference.where(number), current.where(number), keys).unionByName(
+        psi_from_counts(reference.where(text), current.where(text), keys, outside=None)
+    )
+
+
 def psi_from_counts(
     reference: DataFrame,
     current: DataFrame,

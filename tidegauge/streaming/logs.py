@@ -146,31 +146,41 @@ def compact_online(spark: SparkSession, path: str, target: str, keys: list[str],
 ALL_ROWS = "__rows__"
 
 
-def bin_counts(current: DataFrame, edges: drift.Edges, reference_version: str) -> DataFrame:
-    """Running counts per (reference version, feature, bin) of a stream against fixed edges.
+def bin_counts(
+    current: DataFrame, edges: drift.Edges, reference_version: str, categorical: Sequence[str] = ()
+) -> DataFrame:
+    """Running counts of a stream per (reference version, feature, bin), against fixed edges.
 
-    All rows are counted too, nulls or not, as the feature ``__rows__``.
+    The bins of ``categorical`` features are their categories, kept in the same state. All rows
+    are counted too, nulls or not, as the feature ``__rows__``.
     """
     stamped = current.withColumns({"reference_version": F.lit(reference_version), ALL_ROWS: F.lit(0.0)})
-    return drift.count_bins(stamped, {**edges, ALL_ROWS: []}, ["reference_version"])
+    return drift.count_values(stamped, {**edges, ALL_ROWS: []}, list(categorical), ["reference_version"])
 
 
 def drift_decisions(
     reference_counts: DataFrame, path: str, minimum: int = drift.MINIMUM_ROWS
 ) -> BatchHandler:
-    """Handler for complete-mode bin counts: one decision row per batch, withheld below the minimum."""
+    """Handler for complete-mode counts: one decision row per batch, withheld below the minimum.
+
+    ``reference_counts`` come from :func:`drift.count_values`.
+    """
 
     def decide(counts: DataFrame, batch_id: int) -> None:
-        of_all = F.col("feature") == ALL_ROWS
-        current = counts.drop("reference_version")
-        psi = drift.psi_from_counts(reference_counts, current.where(~of_all))
-        rows = current.where(of_all).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("current_row_count"))
-        decision = drift.decide(psi).withColumn("_one", F.lit(1)).join(
-            rows.withColumn("_one", F.lit(1)), "_one"
-        ).drop("_one")
-        checked = drift.apply_minimum_sample(decision, F.col("current_row_count"), minimum)
-        checked.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
+        of_all = (F.col("kind") == "number") & (F.col("feature") == ALL_ROWS)
+        # the running counts are read three times; their state is merged once
+        current = counts.drop("reference_version").persist()
+        try:
+            psi = drift.psi_from_values(reference_counts, current.where(~of_all))
+            rows = current.where(of_all).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("current_row_count"))
+            decision = drift.decide(psi).withColumn("_one", F.lit(1)).join(
+                rows.withColumn("_one", F.lit(1)), "_one"
+            ).drop("_one")
+            checked = drift.apply_minimum_sample(decision, F.col("current_row_count"), minimum)
+            checked.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+                f"{path}/batch={batch_id}"
+            )
+        finally:
+            current.unpersist()
 
     return decide
