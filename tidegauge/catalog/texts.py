@@ -17,6 +17,8 @@ from tidegauge.catalog.base import (
 from tidegauge.functions import text as tx, vectors as vec
 from tidegauge.functions.numeric import clamp_score
 from tidegauge.operators import evaluation, metrics, retrieval, scoring
+from tidegauge.plans.chunk_store import ChunkStore
+from tidegauge.session import scratch_path
 from tidegauge.sources import corpus
 
 _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'),
@@ -123,6 +125,58 @@ def stale_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return stale.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+_LATER_CHUNK_SQL = f"""later AS (
+  SELECT doc_id::VARCHAR AS path, CASE WHEN lang = 'fr' THEN text || chr(10) || 'Fin.' ELSE text END AS body FROM documents WHERE source <> 'src1'
+  UNION ALL SELECT 'note-' || doc_id, 'quality ' || quality FROM labels),
+known AS (SELECT DISTINCT sha256(text) AS h FROM documents),
+normal AS (SELECT path, sha256(body) AS h, {_NORM.format('body')} AS t FROM later),
+starts AS (SELECT path, h, t, unnest(CASE WHEN length(t) <= 900 THEN [0] ELSE generate_series(0, length(t) - 1, 750) END) AS s FROM normal WHERE t <> ''),
+cut AS (SELECT path, h, s, trim(substr(t, s + 1, 900), ' ' || chr(10)) AS text FROM starts),
+chunk AS (SELECT path AS source, h, row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS chunk_id, text FROM cut WHERE text <> '')"""
+
+
+def _two_commits(spark: SparkSession, folder: str) -> tuple[ChunkStore, dict]:
+    """A store of the documents, then of those some time later, and what the second commit took."""
+    store = ChunkStore(spark, scratch_path(spark, "chunk-store"), retrieval.hashed_terms(), "hashed256")
+    store.commit(text_table(spark, folder, "documents"), "doc_id")
+    return store, store.commit(_later_documents(spark, folder), "doc_id")
+
+
+@register(
+    "index_incremental",
+    f"""WITH {_LATER_CHUNK_SQL}
+SELECT source, chunk_id, length(text) AS char_count, md5(text) AS digest, h NOT IN (SELECT h FROM known) AS embedded_again,
+       1.0::DOUBLE AS vector_length FROM chunk""",
+)
+def index_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk of the second snapshot, and whether its text was cut for it or taken over."""
+    store, second = _two_commits(spark, folder)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
+    return store.chunks().select(
+        "source", "chunk_id", "char_count", F.md5(F.col("text").cast("binary")).alias("digest"),
+        (F.col("part") == second["part"]).alias("embedded_again"), F.round(length, 6).alias("vector_length"),
+    )
+
+
+@register(
+    "index_incremental_work",
+    f"""WITH {_LATER_CHUNK_SQL},
+o AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS h FROM documents), n AS (SELECT path, sha256(body) AS h FROM later),
+pairs AS (SELECT o.h AS oh, n.h AS nh FROM o FULL JOIN n ON o.path = n.path),
+news AS (SELECT DISTINCT h FROM n WHERE h NOT IN (SELECT h FROM known)),
+one AS (SELECT h, min(source) AS source FROM chunk WHERE h IN (SELECT h FROM news) GROUP BY h)
+SELECT count(*) FILTER (oh = nh) AS unchanged, count(*) FILTER (oh <> nh) AS changed, count(*) FILTER (oh IS NULL) AS added,
+       count(*) FILTER (nh IS NULL) AS removed, (SELECT count(*) FROM news) AS contents_cut,
+       (SELECT count(*) FROM chunk JOIN one USING (h, source)) AS chunks_embedded, 2 AS version FROM pairs""",
+)
+def index_incremental_work(spark: SparkSession, folder: str) -> DataFrame:
+    """States of the sources at the second commit, and the texts and chunks it had to work on."""
+    _, second = _two_commits(spark, folder)
+    names = ["unchanged", "changed", "added", "removed", "contents_cut", "chunks_embedded"]
+    row = [tuple(int(second[n]) for n in names) + (int(second["version"]),)]
+    return spark.createDataFrame(row, ", ".join(f"{n} long" for n in names) + ", version int")
+
+
 @register(
     "short_text",
     f"""WITH flat AS (SELECT doc_id, {_FLAT.format('text')} AS t FROM documents)

@@ -2,69 +2,29 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.operators import featurestore
+from tidegauge.sources.manifests import Published
 from tidegauge.streaming.logs import BatchHandler
 
-# How often a publication is tried again when others publish meanwhile.
-TRIES = 20
 
-
-class OnlineTable:
+class OnlineTable(Published):
     """Newest rows by key, in folders that a numbered manifest lists.
 
-    A micro-batch writes a folder with its newest rows and publishes the next manifest, which is a rename that fails if
-    that number is taken; then the newer manifest is read and the change is made to it. A reader sees the folders of one
-    manifest, all or none of a batch. Compaction replaces the folders it has read by one and keeps those added
-    since. A batch id that a manifest knows is not added again. The store must rename a file atomically and not over another. Folders of old manifests stay until :meth:`clean`.
+    A micro-batch writes a folder with its newest rows and publishes the next manifest; if another was published
+    meanwhile, that one is read and the change is made to it. A reader sees all or none of a batch. Compaction
+    replaces the folders it has read by one and keeps those added since. A batch id that a manifest knows is not
+    added again. Folders of old manifests stay until :meth:`clean`.
     """
 
+    EMPTY = {"version": 0, "folders": [], "batches": {}}
+
     def __init__(self, spark: SparkSession, path: str, keys: list[str], versions: list[str]) -> None:
-        self.spark, self.path, self.keys, self.versions = spark, path.rstrip("/"), keys, versions
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._place("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _place(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def manifest(self) -> dict:
-        """The newest manifest; of an empty table version 0."""
-        folder = self._place("manifests")
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
-        if not numbers:
-            return {"version": 0, "folders": [], "batches": {}}
-        stream = self._fs.open(self._place(f"manifests/{max(numbers):012d}.json"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict) -> bool:
-        """Make a manifest the one of its number, unless there is one already."""
-        self._fs.mkdirs(self._place("manifests"))
-        draft, place = self._place(f"manifests/{uuid.uuid4().hex}.draft"), self._place(f"manifests/{manifest['version']:012d}.json")
-        out = self._fs.create(draft)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if self._fs.exists(place) or not self._fs.rename(draft, place):
-            self._fs.delete(draft, False)
-            return False
-        return True
-
-    def _change(self, edit) -> bool:
-        for _ in range(TRIES):
-            now = self.manifest()
-            new = edit(now)
-            if new is None:
-                return False
-            if self._publish({**new, "version": now["version"] + 1}):
-                return True
-        raise RuntimeError("the table is being changed too often")
+        super().__init__(spark, path)
+        self.keys, self.versions = keys, versions
 
     def add(self, batch: DataFrame, source: str, batch_id: int) -> bool:
         """Take in a batch of a source once; its later repetition changes nothing."""
@@ -107,23 +67,3 @@ class OnlineTable:
             return {"folders": [folder, *[f for f in now["folders"] if f not in old]], "batches": now["batches"]}
 
         return self._change(edit)
-
-    def clean(self, keep: int = 2) -> int:
-        """Delete the folders that only manifests older than the newest ``keep`` list; returns how many."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._place("manifests")))
-        names = [n for n in names if n.endswith(".json")]
-
-        def folders(chosen: list[str]) -> set[str]:
-            found: set[str] = set()
-            for name in chosen:
-                stream = self._fs.open(self._place(f"manifests/{name}"))
-                found |= set(json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"])
-                stream.close()
-            return found
-
-        gone = folders(names[:-keep]) - folders(names[-keep:])
-        for folder in gone:
-            self._fs.delete(self._place(folder), True)
-        for name in names[:-keep]:
-            self._fs.delete(self._place(f"manifests/{name}"), False)
-        return len(gone)
