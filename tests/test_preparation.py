@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge import schemas
 from tidegauge.functions import dates, hashing, numeric
 from tidegauge.operators import cleaning, contracts
-from tidegauge.operators.encoder import ChurnEncoder, ChurnEncoderModel, LeakageDropper, enrich, rename_prefix
+from tidegauge.operators.encoder import ChurnEncoder, ChurnEncoderModel, LeakageDropper, LeakageFilter, enrich, rename_prefix
 
 
 def test_raw_contract_holds_and_reports_breaches(spark, raw):
@@ -228,3 +228,18 @@ def test_split_is_the_same_by_broadcast_or_by_salted_classes(spark, monkeypatch)
     for _, y, split in sent:
         test[y] = test.get(y, 0) + (split == "test")
     assert test == {y: -(-n // 5) for y, n in counts.items()}
+
+
+def test_leakage_filter_remembers_the_training_columns(interim, tmp_path):
+    from pyspark.ml import Pipeline
+
+    train = interim.withColumn("Hint", F.lit(1))
+    with pytest.warns(UserWarning, match="Absent"):
+        dropper = LeakageFilter(columns=["Hint", "Absent"]).fit(train)
+    later = train.withColumn("Absent", F.lit(2))
+    assert set(dropper.transform(later).columns) == set(interim.columns) | {"Absent"}
+    assert dropper.transform(interim).columns == interim.columns
+    model = Pipeline(stages=[LeakageFilter(), ChurnEncoder()]).fit(interim)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m")).transform(interim)
+    assert again.collect() == model.transform(interim).collect()

@@ -6,6 +6,8 @@ of numbers, and applying it is a projection.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -59,6 +61,28 @@ class LeakageDropper(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return df.drop(*self.getOrDefault(self.columns))
 
 
+class LeakageFilter(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Remember which of the revealing columns the training table has, and drop just these.
+
+    Columns the table lacks are named in a warning; one that only a later table has stays there.
+    """
+
+    columns = Param(Params._dummy(), "columns", "columns that reveal the target", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, columns=None):
+        super().__init__()
+        self._setDefault(columns=schemas.LEAKAGE)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, df: DataFrame) -> LeakageDropper:
+        wanted = self.getOrDefault(self.columns)
+        dropper = LeakageDropper(columns=[c for c in wanted if c in df.columns])
+        if absent := sorted({c for c in wanted if c not in df.columns}):
+            warnings.warn(f"columns to drop are not in the table: {', '.join(absent)}", stacklevel=2)
+        return dropper
+
+
 class _EncoderParams(Params):
     variant = Param(Params._dummy(), "variant", "standard or exploratory", TypeConverters.toString)
     means = Param(Params._dummy(), "means", "column means", TypeConverters.toListFloat)
