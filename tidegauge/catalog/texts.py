@@ -16,7 +16,7 @@ from tidegauge.catalog.base import (
 )
 from tidegauge.functions import text as tx, vectors as vec
 from tidegauge.functions.numeric import clamp_score
-from tidegauge.operators import evaluation, metrics, retrieval, scoring
+from tidegauge.operators import evaluation, metrics, retrieval, scoring, vector_index
 from tidegauge.plans.chunk_store import ChunkStore
 from tidegauge.session import scratch_path
 from tidegauge.sources import corpus
@@ -561,6 +561,47 @@ def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+_NEIGHBOURS = 10
+
+_NEIGHBOUR_SQL = f"""pairs AS (SELECT q.vec_id AS query, e.vec_id AS "key", round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, "key") AS rank FROM pairs
+  QUALIFY rank <= {_NEIGHBOURS})"""
+
+
+def _vector_index(spark: SparkSession, folder: str) -> tuple[vector_index.VectorIndex, DataFrame, int]:
+    """Index of all vectors, the queries (ids divisible by 20), and how many lists to visit."""
+    rows = text_table(spark, folder, "embeddings")
+    index = vector_index.build(rows, "vec_id", "embedding")
+    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return index, asked, vector_index.lists_to_visit(index, asked, _NEIGHBOURS)
+
+
+@register(
+    "vector_index_exact",
+    f"""WITH {_NEIGHBOUR_SQL} SELECT query, "key", round(score, 6) AS score, rank FROM best""",
+)
+def vector_index_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest vectors of each query, by the lists that may hold them."""
+    index, asked, visited = _vector_index(spark, folder)
+    return vector_index.search_exact(index, asked, _NEIGHBOURS, visited).withColumn("score", F.round("score", 6))
+
+
+@register(
+    "vector_index_recall",
+    f"""WITH {_NEIGHBOUR_SQL} SELECT (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS placed,
+       count(DISTINCT query) AS queries, count(*) AS wanted, TRUE AS reached FROM best""",
+)
+def vector_index_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows placed, and whether the nearest lists hold nine tenths of the true neighbours."""
+    index, asked, visited = _vector_index(spark, folder)
+    found = vector_index.search(index, asked, _NEIGHBOURS, visited)
+    exact = retrieval.nearest(index.rows, asked, _NEIGHBOURS)
+    measured = vector_index.recall(found, exact).withColumn("_one", F.lit(1))
+    placed = index.rows.agg(F.count(F.lit(1)).alias("placed")).withColumn("_one", F.lit(1))
+    return placed.join(measured, "_one").select("placed", "queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @register(
     "vector_normalize",
     """SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length,
