@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidegauge import schemas
 from tidegauge.catalog.base import raw_customers, raw_customers_sql, register, table
@@ -90,6 +90,45 @@ def json_line_faults(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Rows of one file of the spoiled log.
+_LOG_ROWS = 20_000
+
+_SPOILED_SQL = f"""SELECT event_id // {_LOG_ROWS} AS part, CAST(row_number() OVER (PARTITION BY event_id // {_LOG_ROWS} ORDER BY event_id) AS BIGINT) AS line,
+       CASE event_type WHEN 'error' THEN 'invalid_json' WHEN 'signup' THEN 'not_object' END AS fault, event_type FROM events"""
+
+
+def spoiled_log(spark: SparkSession, folder: str) -> str:
+    """Path of the event properties as JSON lines, in order of their ids and in files of bounded size.
+
+    Lines of errors are glued together, those of sign-ups are no objects, purchases leave blank lines.
+    """
+    kind, props = F.col("event_type"), F.col("props")
+    line = (
+        F.when(kind == "error", F.concat(props, props))
+        .when(kind == "signup", F.concat(F.lit("["), props, F.lit("]")))
+        .when(kind == "purchase", F.lit("  "))
+        .otherwise(props)
+    )
+    path = scratch_path(spark, "spoiled-log")
+    rows = table(spark, folder, "events").select(
+        F.floor(F.col("event_id") / _LOG_ROWS).alias("part"), "event_id", line.alias("value")
+    )
+    ordered = rows.repartition("part").sortWithinPartitions("part", "event_id")
+    ordered.select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+def log_part() -> Column:
+    """Which file of the spoiled log a row comes from."""
+    return F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")
+
+
+@register("json_line_numbers", f"SELECT part, line, fault FROM ({_SPOILED_SQL}) WHERE fault IS NOT NULL")
+def json_line_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """File, line number and fault of every bad line."""
+    return tables.bad_lines(spark, spoiled_log(spark, folder)).select(log_part().alias("part"), "line", "fault")
+
+
 @register(
     "history_append",
     """SELECT run, event_type, count(*) AS n FROM (SELECT event_type, unnest(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN ['first', 'second'] ELSE ['second'] END) AS run FROM events)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidegauge.catalog.base import moment, register, table
 from tidegauge.catalog.operations import BOUNDS, _REQUESTS_SQL, _SLIDES_SQL, _quantile_sql, _stamped, as_phases, as_requests
 from tidegauge.catalog.drift import NUMBERS, SPLIT, _SHIPMENTS_SQL, _psi_sql
+from tidegauge.catalog.jobs import _SPOILED_SQL, log_part, spoiled_log
 from tidegauge.catalog.store import _LATEST_SQL
 from tidegauge.functions import text as tx
 from tidegauge.operators import drift, featurestore
@@ -301,3 +302,20 @@ def stream_request_lifetimes(spark: SparkSession, folder: str) -> DataFrame:
         changes = requests.gauge_changes(seen, "event_id", "endpoint", "phase", "at", 60)
         logs.run_available(changes, logs.per_batch_table(path))
     return requests.under_way(spark.read.parquet(path), ["endpoint"])
+
+
+@register(
+    "stream_line_faults",
+    f"""SELECT part, line, fault FROM ({_SPOILED_SQL}) WHERE fault IS NOT NULL
+UNION ALL SELECT part, count(*), 'accepted' FROM ({_SPOILED_SQL}) WHERE fault IS NULL AND event_type <> 'purchase' GROUP BY part""",
+)
+def stream_line_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """The spoiled log as a stream that follows its files: bad lines by number, and accepted lines of each file."""
+    path, out = spoiled_log(spark, folder), scratch_path(spark, "line-faults")
+    handler = logs.number_faults(out, logs.per_batch_table(f"{out}/accepted"))
+    logs.run_available(logs.tailed_log(spark, path), handler)
+    faults = spark.read.parquet(f"{out}/faults").select(log_part().alias("part"), "line", "fault")
+    accepted = spark.read.parquet(f"{out}/accepted").groupBy(log_part().alias("part")).agg(
+        F.count(F.lit(1)).alias("line"), F.lit("accepted").alias("fault")
+    )
+    return faults.unionByName(accepted)

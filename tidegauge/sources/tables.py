@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidegauge import schemas
 from tidegauge.functions.text import json_status, trim_space
 from tidegauge.operators.evaluation import normalize_golden, require_golden
+from tidegauge.sources import lines
 
 
 class SourceError(ValueError):
@@ -54,7 +55,7 @@ def load_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
 # --- JSON lines -------------------------------------------------------------
 
 
-def classify_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+def classify_lines(rows: DataFrame, column: str = "value") -> DataFrame:
     """Add ``fault`` to text lines: invalid_json, not_object, or null for a good line.
 
     Blank lines are dropped.
@@ -62,20 +63,19 @@ def classify_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     text = trim_space(F.col(column))
     state = json_status(text)
     fault = F.when(state == "json_invalid", "invalid_json").when(state == "json_non_dict", "not_object")
-    return lines.where(text != "").withColumn("fault", fault)
+    return rows.where(text != "").withColumn("fault", fault)
 
 
-def parse_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_lines(rows: DataFrame, schema: T.StructType, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Good records in the layout, and the quarantined lines with their fault."""
-    marked = classify_lines(lines, column)
+    marked = classify_lines(rows, column)
     good = marked.where(F.col("fault").isNull()).select(F.from_json(column, schema).alias("r")).select("r.*")
     return good, marked.where(F.col("fault").isNotNull()).select(F.col(column).alias("line"), "fault")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """Records of a JSON-lines file; in strict mode a bad line stops with its number."""
-    lines = spark.read.text(path)
-    good, bad = parse_lines(lines, schema)
+    good, bad = parse_lines(spark.read.text(path), schema)
     if not strict:
         return good
     if bad.limit(1).count():
@@ -86,33 +86,16 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, strict
     return good
 
 
-def first_bad_line(spark: SparkSession, path: str) -> tuple[str, int, str]:
-    """File, 1-based line number and fault of the first bad line; only used on failure.
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every bad line of JSON-lines files: ``(file, line, fault, value)``, lines counted from 1."""
+    placed = lines.placed_lines(spark, path)
+    bad = classify_lines(placed).where(F.col("fault").isNotNull())
+    return lines.numbered(placed, bad).select("file", "line", "fault", "value")
 
-    Lines are counted per scan partition, so only one row per partition is gathered.
-    """
-    numbered = spark.read.text(path).select(
-        F.col("value"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-    text = trim_space(F.col("value"))
-    state = json_status(text)
-    fault = F.when(text == "", None).when(state != "ok", state)
-    per_block = numbered.withColumn("fault", fault).groupBy("file", "block").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("place").alias("first"),
-        F.min(F.when(F.col("fault").isNotNull(), F.struct("place", "fault"))).alias("bad"),
-    )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    row = (
-        per_block.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .where(F.col("bad").isNotNull())
-        .select("file", "block", (F.col("before") + F.col("bad.place") - F.col("first") + 1).alias("line"), "bad.fault")
-        .orderBy("file", "block")
-        .first()
-    )
+
+def first_bad_line(spark: SparkSession, path: str) -> tuple[str, int, str]:
+    """File, 1-based line number and fault of the first bad line; only used on failure."""
+    row = bad_lines(spark, path).orderBy("file", "line").first()
     return row["file"], row["line"], row["fault"]
 
 

@@ -11,6 +11,7 @@ from tidegauge import schemas
 from tidegauge.functions import text as tx
 from tidegauge.operators import drift, featurestore, opsmetrics
 from tidegauge.session import scratch_path
+from tidegauge.sources import lines
 
 BatchHandler = Callable[[DataFrame, int], None]
 
@@ -74,6 +75,43 @@ def split_faults(quarantine: str, accept: BatchHandler) -> BatchHandler:
     return handle
 
 
+def tailed_log(spark: SparkSession, path: str, range_bytes: int = lines.RANGE_BYTES) -> DataFrame:
+    """Lines of a growing log with a ``fault`` for those that are no JSON object; blank lines are kept."""
+    text = tx.trim_space(F.col("value"))
+    state = tx.json_status(text)
+    fault = F.when(text == "", None).when(state == "json_invalid", "invalid_json").when(
+        state == "json_non_dict", "not_object"
+    )
+    return lines.tail(spark, path, range_bytes).withColumns({"blank": text == "", "fault": fault})
+
+
+def number_faults(path: str, accept: BatchHandler) -> BatchHandler:
+    """Handler that sets faulty lines of :func:`tailed_log` aside with their line numbers, and passes the others on.
+
+    Below ``path``, ``lines`` keeps one row per batch and byte range, from which later batches count on,
+    and ``faults`` the lines set aside. A repeated batch replaces what it wrote.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # read three times; the files may grow meanwhile, the ranges of a batch do not
+        held = batch.persist()
+        try:
+            counts = held.groupBy("file", "range").agg(F.count(F.lit(1)).alias("n"))
+            counts.write.mode("overwrite").parquet(f"{path}/lines/batch={batch_id}")
+            known = spark.read.schema("file string, range long, n long, batch long").parquet(f"{path}/lines")
+            starts = lines.first_lines(known.where(F.col("batch") <= batch_id))
+            faulty = held.where(F.col("fault").isNotNull()).join(starts, ["file", "range"])
+            faulty.select("file", (F.col("before") + F.col("place") + 1).alias("line"), "at", "fault", "value").write.mode(
+                "overwrite"
+            ).parquet(f"{path}/faults/batch={batch_id}")
+            accept(held.where(F.col("fault").isNull() & ~F.col("blank")).select("file", "at", "value"), batch_id)
+        finally:
+            held.unpersist()
+
+    return handle
+
+
 # --- operations -------------------------------------------------------------
 
 
