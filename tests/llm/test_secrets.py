@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
 import re
+import string
+
+import pytest
 
 from tidegauge.llm import secret_grammar as g
 from tidegauge.llm.catalog import QUERIES
@@ -58,6 +62,59 @@ def test_scan_adds_spans_and_keeps_base(spark, odd_docs, no_docs, odd_rows):
     assert g.find(no_docs).count() == 0 and g.redact(no_docs).count() == 0
 
 
+WORDS = ("information development government understand important different international organisation "
+         "environment management possible everything experience education following community president "
+         "technology available university production themselves relationship performance opportunity").split()
+
+
+@pytest.mark.parametrize("length,alphabet", [
+    (8, string.ascii_lowercase + string.digits), (12, string.ascii_letters), (12, string.ascii_lowercase + string.digits),
+    (40, string.ascii_letters), (40, string.hexdigits[:16]),
+])
+def test_bare_credentials_are_found_and_words_are_not(spark, length, alphabet):
+    rng = random.Random(length)
+    value = lambda: "".join(rng.choices(alphabet, k=length))
+    # ordinary tokens: long words, joined words, hosts and versions
+    words = WORDS + [f"{a}-{b}" for a in WORDS for b in WORDS[::3]] + [f"mail{n}.example.com" for n in range(60)]
+    words += [f"release-{n}.{n + 1}" for n in range(60)]
+    rows = [(k, f"password: {value()} {' '.join(rng.choices(words, k=20))}") for k in range(300)]
+    bare = [value() for _ in range(100)]
+    rows += [(1000 + k, f"{' '.join(rng.choices(words, k=10))} {v} {rng.choice(words)}") for k, v in enumerate(bare)]
+    # copies of one bare credential count once among the ordinary tokens
+    rows += [(5000 + k, f"see {bare[0]} here") for k in range(200)]
+    found = g.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {s.value for r in found for s in r.added}
+    known = set(bare) if length < 32 or alphabet != string.hexdigits[:16] else set()  # the hex pattern takes these
+    # eight characters say little against the many ordinary tokens
+    assert len(added & known) >= (0.8 if length == 8 else 0.95) * len(known)
+    assert not added - known
+    assert all(len(r.added) == 1 for r in found if r.doc_id >= 5000) or bare[0] not in added
+    assert all(s.value == text[s.start : s.end] for r in found for text in [dict(rows)[r.doc_id]] for s in r.added)
+
+
+def test_ordinary_likelihood_leaves_the_token_out(spark):
+    tokens = ["banana00", "zzzzzzzz", "abcabcabc"]
+    pairs = g.count_pairs(spark.createDataFrame([(t,) for t in tokens], "value string"))
+
+    def plain(token):
+        others = [f"\0{t}\0" for t in tokens if t != token]
+        count = lambda a, b=None: sum(
+            o[i] == a and (b is None or o[i + 1] == b) for o in others for i in range(len(o) - 1))
+        padded = f"\0{token}\0"
+        return sum(math.log((count(a, b) + 0.5) / (count(a) + 0.5 * g._SIZE)) for a, b in zip(padded, padded[1:]))
+
+    found = g.Scorer({}, pairs, {}).ordinary(tokens)
+    assert [round(x, 9) for x in found] == [round(plain(t), 9) for t in tokens]
+
+
+def test_candidates_touch_no_base_span():
+    text = "token=abcdefgh.ijkl secret:token=12345678 and standalone1 " + "a1" * 20 + "zz"
+    base = g.base_spans(text)
+    found = [s[3] for s in g.candidate_spans(text, base)]
+    brute = [m.group() for m in g.CANDIDATE.finditer(text) if not any(s[1] < m.end() and s[2] > m.start() for s in base)]
+    assert found == brute and "standalone1" in found
+
+
 def test_redaction_keeps_columns_and_masks(spark, odd_docs):
     docs = spark.createDataFrame([(1, CASES[0], "a"), (2, None, "b"), (3, "clean text", "c")], "doc_id long, text string, _row string")
     rows = {r.doc_id: r for r in g.redact(docs).collect()}

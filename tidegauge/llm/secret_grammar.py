@@ -1,17 +1,19 @@
 """Secret scans: fixed patterns label credentials, and automata inferred from these score other tokens.
 
-One pass over the whole texts notes the spans of the fixed patterns and all other long tokens that
-mix letters and digits. From a bounded sample of the labelled credentials of each kind a prefix
-tree is built, whose statistically compatible states are merged into a probabilistic automaton.
-Every candidate token of every text is then scored by its likelihood under each automaton against
-that of a random token; those as likely as the labelled credentials are added as spans of kind
-``grammar``.
+A first pass over the whole texts notes the credentials the fixed patterns find and every distinct token of
+eight or more of their characters. From a bounded sample of the labelled credentials of each kind a prefix
+tree is built, whose statistically compatible states are merged into a probabilistic automaton; all distinct
+tokens of the corpus give a model of ordinary tokens, their counts of neighbouring characters. A second pass
+scores every candidate token of every text under each automaton and under that model (without the token's own
+share in it). A token is added as a span of kind ``grammar`` if it is as likely as the labelled credentials
+are, and if it is likelier a credential than an ordinary token, at the odds at which the corpus holds the two.
 
 Sample: per kind, the ``SAMPLE`` distinct credentials with the smallest hashes. That is the only
-bound; scanning and scoring cover all texts.
+bound; counts, scanning and scoring cover all texts.
 
-Defined results: a null or empty text has no spans; repeated rows get equal results; with no
-labelled credential there is no automaton and nothing is added. There is no shuffle of texts.
+Defined results: a null or empty text has no spans; repeated rows get equal results and count once in the
+model of ordinary tokens; with no labelled credential there is no automaton and nothing is added. No text
+is shuffled, distinct tokens are.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.common import documents_of, fresh, quoted
+from tidegauge.llm.common import documents_of, fresh, quoted, slices
 from tidegauge.session import through_table
 
 # The patterns of the three base kinds, with the least length of what must match.
@@ -39,10 +41,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGNED, LEAST_ACCESS = 8, 16
 ADDED = "grammar"
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _MAY_HAVE_BASE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-_MAY_HAVE_CANDIDATE = r"[0-9]"
 
 SAMPLE = 400
 SIGNIFICANCE = 0.05
@@ -50,7 +50,7 @@ SIGNIFICANCE = 0.05
 MISSED = 0.02
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
-FOUND = f"doc_id long, base array<{SPAN}>, candidates array<{SPAN}>"
+FOUND = f"doc_id long, base array<{SPAN}>, added array<{SPAN}>"
 ORDER = {kind: k for k, kind in enumerate([*KINDS, ADDED])}
 
 Span = tuple[str, int, int, str]
@@ -69,48 +69,47 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidate_spans(text: str, base: list[Span]) -> list[Span]:
-    """Long tokens with a letter and a digit that no base span touches."""
+    """Tokens of the characters of credentials that no base span touches."""
+    if not base:
+        return [(ADDED, m.start(), m.end(), m.group()) for m in CANDIDATE.finditer(text)]
     out, k = [], 0
     ordered = sorted((s[1], s[2]) for s in base)
+    # a span may reach beyond the start of the next one
+    reach = ordered[0][1]
     for m in CANDIDATE.finditer(text):
-        while k < len(ordered) and ordered[k][1] <= m.start():
+        start, end = m.span()
+        while k < len(ordered) and ordered[k][0] < end:
+            reach = max(reach, ordered[k][1])
             k += 1
-        if any(a < m.end() and b > m.start() for a, b in ordered[k:]):
-            continue
-        if _MIXED.search(m.group()):
-            out.append((ADDED, m.start(), m.end(), m.group()))
+        if not k or reach <= start:
+            out.append((ADDED, start, end, m.group()))
     return out
 
 
 def _spans_of(texts: pa.Array) -> Iterator[tuple[list[Span], list[Span]]]:
     may_base = pc.match_substring_regex(texts, _MAY_HAVE_BASE).to_pylist()
-    may_other = pc.match_substring_regex(texts, _MAY_HAVE_CANDIDATE).to_pylist()
-    for k, (one, other) in enumerate(zip(may_base, may_other)):
-        if not one and not other:
-            yield [], []
-            continue
+    for k, may in enumerate(may_base):
         text = texts[k].as_py()
-        base = base_spans(text) if one else []
-        yield base, candidate_spans(text, base) if other else []
+        base = base_spans(text) if may else []
+        yield base, candidate_spans(text, base)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and candidate tokens of every document: one row per document."""
+def gather(docs: DataFrame) -> DataFrame:
+    """``(kind, value)``: the distinct credentials of each base kind, and the distinct candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
-                                   ("value", pa.string())]))
-        as_rows = lambda spans: [dict(zip(("kind", "start", "end", "value"), s)) for s in spans]
         for batch in batches:
-            base, other = [], []
-            for a, b in _spans_of(batch.column(1)):
-                base.append(as_rows(a))
-                other.append(as_rows(b))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base, kind), pa.array(other, kind)], names=["doc_id", "base", "candidates"]
-            )
+            for part in slices(batch):
+                seen = set()
+                for base, other in _spans_of(part.column(1)):
+                    seen.update((s[0], s[3]) for s in base)
+                    seen.update((s[0], s[3]) for s in other)
+                kinds, values = zip(*seen) if seen else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"]
+                )
 
-    return documents_of(docs).mapInArrow(run, FOUND)
+    return documents_of(docs).mapInArrow(run, "kind string, value string").distinct()
 
 
 # --- grammar inference -------------------------------------------------------------------
@@ -243,41 +242,139 @@ class Automaton:
         total += math.log((state.ends + _SMOOTHING) / (state.visits + _SMOOTHING * (_ALPHABET + 1)))
         return total / max(1, len(token))
 
+    def log_likelihood(self, token: str) -> float:
+        return len(token) * (self.score(token) - math.log(sum(_WIDTH.values())))
+
     def accepts(self, token: str) -> bool:
+        """Whether the token is as likely as the labelled credentials."""
         return len(token) >= self.shortest and self.score(token) >= self.threshold
 
 
-def learn(found: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
-    """An automaton for each kind of which there is a labelled credential."""
-    labelled = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
-    automata = {}
+# --- ordinary tokens ---------------------------------------------------------------------
+
+# Code 0 stands before and after a token.
+_CODES = np.zeros(256, np.int64)
+_CODES[np.frombuffer("".join(_SYMBOL).encode(), np.uint8)] = np.arange(1, len(_SYMBOL) + 1)
+_SIZE = len(_SYMBOL) + 1
+# Log of the characters of each code's class: no automaton gives a character more than one in so many.
+_LOG_WIDTH = np.array([0.0] + [math.log(_WIDTH[s]) for s in _SYMBOL.values()])
+_PAIR_SMOOTHING = 0.5
+
+
+def _pairs(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring codes of all tokens, as one number each, and the token each belongs to."""
+    codes = _CODES[np.frombuffer(("\0" + "\0".join(tokens) + "\0").encode(), np.uint8)]
+    return codes[:-1] * _SIZE + codes[1:], np.cumsum(codes[:-1] == 0) - 1
+
+
+def count_pairs(tokens: DataFrame) -> np.ndarray:
+    """How often each pair of neighbouring characters stands in the distinct tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                counts = np.bincount(_pairs(batch.column(0).to_pylist())[0])
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())],
+                                                 names=["pair", "n"])
+
+    found = tokens.select("value").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = np.zeros(_SIZE * _SIZE)
+    for row in found.collect():  # one row per pair of characters
+        counts[row["pair"]] = row["n"]
+    return counts
+
+
+@dataclass
+class Scorer:
+    """Automata by kind, the pairs of ordinary tokens, and the log of their number over each kind's."""
+
+    automata: dict[str, Automaton]
+    pairs: np.ndarray
+    odds: dict[str, float]
+
+    def ordinary(self, tokens: list[str]) -> np.ndarray:
+        """Log-likelihood of each token among all others of the corpus."""
+        pair, owner = _pairs(tokens)
+        first = pair // _SIZE
+        _, at, times = np.unique(owner * (_SIZE * _SIZE) + pair, return_inverse=True, return_counts=True)
+        _, from_at, from_times = np.unique(owner * _SIZE + first, return_inverse=True, return_counts=True)
+        both = np.maximum(self.pairs[pair] - times[at], 0)
+        one = np.maximum(self.pairs.reshape(_SIZE, _SIZE).sum(axis=1)[first] - from_times[from_at], 0)
+        share = (both + _PAIR_SMOOTHING) / (one + _PAIR_SMOOTHING * _SIZE)
+        return np.bincount(owner, np.log(share), len(tokens))
+
+    def judge(self, tokens: list[str]) -> list[bool]:
+        """Whether each token is a likely credential."""
+        if not tokens or not self.automata:
+            return [False] * len(tokens)
+        ordinary = self.ordinary(tokens)
+        pair, owner = _pairs(tokens)
+        # the most that any automaton can give settles nearly all ordinary tokens
+        most = -np.bincount(owner, _LOG_WIDTH[pair % _SIZE], len(tokens))
+        verdicts = most >= ordinary + min(self.odds.values())
+        for k in np.flatnonzero(verdicts):
+            verdicts[k] = any(
+                a.accepts(tokens[k]) and a.log_likelihood(tokens[k]) >= ordinary[k] + self.odds[kind]
+                for kind, a in self.automata.items()
+            )
+        return verdicts.tolist()
+
+
+def learn(tokens: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """An automaton for each kind of which there is a labelled credential, and the pairs of all candidates."""
+    number = {r["kind"]: r["count"] for r in tokens.groupBy("kind").count().collect()}  # one row per kind
+    automata, odds = {}, {}
     for kind in KINDS:
-        rows = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
-        tokens = [r.value for r in rows.collect()]  # at most ``sample`` of them
-        if tokens:
-            automata[kind] = Automaton(tokens)
-    return automata
+        rows = tokens.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
+        labelled = [r.value for r in rows.collect()]  # at most ``sample`` of them
+        if labelled:
+            automata[kind] = Automaton(labelled)
+            odds[kind] = math.log(max(1, number.get(ADDED, 0)) / number[kind])
+    return Scorer(automata, count_pairs(tokens.where(F.col("kind") == ADDED)), odds)
 
 
-def add_likely(found: DataFrame, automata: dict[str, Automaton]) -> DataFrame:
-    """``(doc_id, base, added)``: base spans, and candidates that an automaton accepts."""
-    @F.pandas_udf("array<boolean>")
-    def likely(candidates):
-        def judge(spans) -> list[bool]:
-            return [any(a.accepts(s["value"]) for a in automata.values()) for s in spans]
+def learn_from(docs: DataFrame) -> Scorer:
+    """What the first pass over the texts teaches."""
+    return learn(through_table(gather(docs), "secret-tokens"))
 
-        return candidates.map(lambda spans: judge(spans) if spans is not None else [])
 
-    none = F.array().cast("array<boolean>")
-    verdicts = F.when(F.size("candidates") > 0, likely("candidates")).otherwise(none)
-    judged = found.withColumn("_likely", verdicts)
-    return judged.select("doc_id", "base", F.filter("candidates", lambda c, k: F.get("_likely", k)).alias("added"))
+# Verdicts a task remembers.
+REMEMBERED = 500_000
+
+
+def _judged(texts: pa.Array, scorer: Scorer, known: dict[str, bool]) -> Iterator[tuple[list[Span], list[Span]]]:
+    """Base spans and accepted candidates of every text."""
+    spans = list(_spans_of(texts))
+    new = list({s[3] for _, other in spans for s in other if s[3] not in known})
+    if len(known) > REMEMBERED:
+        known.clear()
+        new = list({s[3] for _, other in spans for s in other})
+    known.update(zip(new, scorer.judge(new)))
+    for base, other in spans:
+        yield base, [s for s in other if known[s[3]]]
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``(doc_id, base, added)`` of every document; scans the texts once."""
-    found = through_table(scan(docs), "secret-spans")
-    return add_likely(found, learn(found))
+    """``(doc_id, base, added)`` of every document; scans the texts twice."""
+    scorer = learn_from(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
+                                   ("value", pa.string())]))
+        as_rows = lambda spans: [dict(zip(("kind", "start", "end", "value"), s)) for s in spans]
+        known: dict[str, bool] = {}
+        for batch in batches:
+            for part in slices(batch):
+                base, added = [], []
+                for a, b in _judged(part.column(1), scorer, known):
+                    base.append(as_rows(a))
+                    added.append(as_rows(b))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(base, kind), pa.array(added, kind)], names=["doc_id", "base", "added"]
+                )
+
+    return documents_of(docs).mapInArrow(run, FOUND)
 
 
 def joined(spans) -> F.Column:
@@ -294,14 +391,12 @@ def by_start(spans) -> F.Column:
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """The documents with every span, base and added, replaced by a mask; other columns stay."""
-    automata = learn(through_table(scan(docs), "secret-spans"))
+    scorer = learn_from(docs)
     (packed,) = fresh(docs, "_row")
     place = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
 
     def clean(text: str | None, base: list[Span], other: list[Span]) -> str | None:
-        spans = sorted(
-            [(s[1], s[2]) for s in base] + [(s[1], s[2]) for s in other if any(a.accepts(s[3]) for a in automata.values())]
-        )
+        spans = sorted((s[1], s[2]) for s in base + other)
         out, at = [], 0
         for start, end in spans:
             if end > at:
@@ -310,16 +405,19 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for batch in batches:
-            texts = batch.column(0)
-            filled = pc.fill_null(texts, "")
-            new = [
-                clean(filled[k].as_py(), a, b) if a or b else None for k, (a, b) in enumerate(_spans_of(filled))
-            ]
-            changed = pa.array([x is not None for x in new])
-            yield pa.RecordBatch.from_arrays(
-                [pc.if_else(changed, pa.array(new, texts.type), texts), batch.column(1)], names=["text", packed]
-            )
+            for part in slices(batch):
+                texts = part.column(0)
+                filled = pc.fill_null(texts, "")
+                new = [
+                    clean(filled[k].as_py(), a, b) if a or b else None
+                    for k, (a, b) in enumerate(_judged(filled, scorer, known))
+                ]
+                changed = pa.array([x is not None for x in new])
+                yield pa.RecordBatch.from_arrays(
+                    [pc.if_else(changed, pa.array(new, texts.type), texts), part.column(1)], names=["text", packed]
+                )
 
     rest = [c for k, c in enumerate(docs.columns) if k != place]
     text = F.col("`" + docs.columns[place] + "`").cast("string").alias("text")
