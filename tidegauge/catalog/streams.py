@@ -19,9 +19,12 @@ _STAMP = "%Y-%m-%d %H:%M:%S"
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table as a file stream, be it one file or a folder of them.
+
+    The name is a pattern, since a stream takes a plain path to be a folder; a filter on names would lose the files of a folder.
+    """
     layout = table(spark, folder, name).schema
-    return spark.readStream.schema(layout).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(layout).parquet(f"{folder.rstrip('/')}/{{{name}}}.parquet")
 
 
 def _last_batch(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
