@@ -1,9 +1,10 @@
 """Boosted trees for a 0/1 label by Newton steps over binned features.
 
 Features are cut into at most ``max_bin`` bins at quantiles. A tree is grown level by level from one sum of
-gradients and Hessians per node, feature and bin over all rows. Nodes with few rows are set aside and finished
-each in one task that gets their rows, in one job for all of them; a node is
-split the same way in either. Rows are kept as cached blocks with their margins, which are brought forward by each
+gradients and Hessians per node, feature and bin over all rows. Nodes whose rows are fewer bytes than their sums
+are set aside and finished each in one task that gets their rows, in one job for all of them, where that spares
+several levels; a node is split the same way in either. Rows are kept as cached blocks, as many as there are cores once
+rows are many, with their margins, which are brought forward by each
 tree and checkpointed every so many trees, so a lost executor costs those since then.
 
 Draws depend on the row's contents and the seed, never on how rows are spread. A null or NaN is less than every number.
@@ -29,10 +30,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.session import shared_folder, through_table
 
-# A node of at most so many rows is finished in one task; bytes of a block; trees between checkpoints.
+# A node of at most so many rows is finished in one task; rows that are worth a block of their own, and bytes of a
+# block; trees between checkpoints; levels that setting a node aside has to spare.
 LOCAL_ROWS = 200_000
+BLOCK_ROWS = 20_000
 BLOCK_BYTES = 64 << 20
 CHECKPOINT_TREES = 40
+SPARED_LEVELS = 4
+# Bytes of sums that the driver adds up itself; more are added in tasks first.
+_ADDED_BYTES = 32 << 20
+# Up to so many splits, rows are placed split by split instead of row by row.
+_MASKED_SPLITS = 40
 # What is summed up per node, feature and bin.
 _GRADIENT, _HESSIAN, _ROWS, _WEIGHT = range(4)
 
@@ -132,6 +140,14 @@ class Tree:
 
     def place(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row; bins by feature and row."""
+        splits = [k for k, f in enumerate(self.feature) if f >= 0]
+        if len(splits) <= _MASKED_SPLITS:
+            at = np.zeros(bins.shape[1], np.int16)
+            for k in splits:  # a node comes before its children
+                here, low = at == k, bins[self.feature[k]] <= self.cut[k]
+                np.copyto(at, self.left[k], where=here & low, casting="unsafe")
+                np.copyto(at, self.right[k], where=here & ~low, casting="unsafe")
+            return at
         feature, cut, left, right = (np.array(x) for x in (self.feature, self.cut, self.left, self.right))
         at = np.zeros(bins.shape[1], np.int64)
         rows = np.arange(bins.shape[1])
@@ -144,14 +160,21 @@ class Tree:
 
 
 def histogram(bins: np.ndarray, slot: np.ndarray, kinds: np.ndarray, n_slots: int, n_bins: int) -> np.ndarray:
-    """Sums by slot, feature, bin and kind over rows with a slot of 0 or more."""
-    held = slot >= 0
-    base, kinds = slot[held] * n_bins, kinds[:, held]
+    """Sums by slot, feature, bin and kind over the sampled rows with a slot of 0 or more."""
+    # the other rows go to a slot that is cut off, which is cheaper than to leave them out feature by feature
+    base = np.where((slot >= 0) & (kinds[_ROWS] > 0), slot, n_slots) * n_bins
+    plain = np.array_equal(kinds[_WEIGHT], kinds[_ROWS])
+    size = (n_slots + 1) * n_bins
     out = np.empty((n_slots, len(bins), n_bins, len(kinds)))
     for f, own in enumerate(bins):
-        key = base + own[held]
+        key = base + own
         for k, values in enumerate(kinds):
-            out[:, f, :, k] = np.bincount(key, values, n_slots * n_bins).reshape(n_slots, n_bins)
+            if k == _WEIGHT and plain:
+                out[:, f, :, k] = out[:, f, :, _ROWS]
+                continue
+            # every sampled row counts one
+            sums = np.bincount(key, None if k == _ROWS else values, size)
+            out[:, f, :, k] = sums.reshape(-1, n_bins)[:n_slots]
     return out
 
 
@@ -168,9 +191,12 @@ class Block:
     def kinds(self, rules: Rules, number: int) -> np.ndarray:
         """Gradient, Hessian, one and weight of each row of the tree's sample, zeros for the others."""
         p = 1.0 / (1.0 + np.exp(-self.margin))
-        kinds = np.stack([self.weight * (p - self.label), self.weight * p * (1 - p), np.ones(len(p)), self.weight])
-        if rules.row_share < 1.0:
-            kinds *= _draws(self.draw, rules.seed, number) < rules.row_share
+        kinds = np.empty((4, len(p)))
+        kinds[_ROWS] = _draws(self.draw, rules.seed, number) < rules.row_share if rules.row_share < 1.0 else 1.0
+        np.multiply(self.weight, kinds[_ROWS], out=kinds[_WEIGHT])
+        np.multiply(kinds[_WEIGHT], p - self.label, out=kinds[_GRADIENT])
+        np.multiply(kinds[_WEIGHT], p, out=kinds[_HESSIAN])
+        kinds[_HESSIAN] *= 1 - p
         return kinds
 
     def after(self, tree: Tree) -> "Block":
@@ -203,9 +229,10 @@ def _tree_features(rules: Rules, number: int, n: int) -> np.ndarray:
 
 def grow(
     sums_of: Callable[[Tree, list[int]], np.ndarray], rules: Rules, number: int, features: np.ndarray, path: int = 1,
-    local_rows: int = 0, rows: float = math.inf,
+    local_rows: int = 0, rows: float = math.inf, small_rows: int = 0,
 ) -> tuple[Tree, list[int]]:
-    """A tree, and its nodes of at most ``local_rows`` rows, which are left unsplit."""
+    """A tree, and its nodes left unsplit: a root of at most ``local_rows`` rows, or nodes of at most ``small_rows``
+    with ``SPARED_LEVELS`` or more below them."""
     tree, aside = Tree(), []
     tree.path[0] = path
     depth_of = lambda node: tree.path[node].bit_length() - 1
@@ -225,8 +252,9 @@ def grow(
             left = own[f, :cut + 1].sum(axis=0)
             right = own[f, cut + 1:].sum(axis=0)
             for child, part in zip(tree.split(node, found, (leaf_value(left, rules), leaf_value(right, rules))), (left, right)):
-                if depth_of(child) < rules.depth:
-                    (aside if part[_ROWS] <= local_rows else following).append(child)
+                below = rules.depth - depth_of(child)
+                if below > 0:
+                    (aside if below >= SPARED_LEVELS and part[_ROWS] <= small_rows else following).append(child)
         open_ = following
     return tree, aside
 
@@ -244,6 +272,7 @@ def grow_here(bins: np.ndarray, kinds: np.ndarray, rules: Rules, number: int, fe
 
 def _grow_tree(blocks: RDD, parts: int, rows: int, rules: Rules, number: int, n_features: int, n_bins: int) -> Tree:
     features = _tree_features(rules, number, n_features)
+    node_bytes = n_features * n_bins * 32
 
     def sums_of(tree: Tree, nodes: list[int]) -> np.ndarray:
         slots = np.full(len(tree.feature), -1)
@@ -252,9 +281,11 @@ def _grow_tree(blocks: RDD, parts: int, rows: int, rules: Rules, number: int, n_
         def sums(block: Block) -> np.ndarray:
             return histogram(block.bins, slots[tree.place(block.bins)], block.kinds(rules, number), len(nodes), n_bins)
 
-        return blocks.map(sums).treeReduce(np.add)
+        return blocks.map(sums).treeReduce(np.add, 1 if parts * len(nodes) * node_bytes <= _ADDED_BYTES else 2)
 
-    tree, aside = grow(sums_of, rules, number, features, 1, LOCAL_ROWS, rows)
+    # the sums of a node come from every block; below this number its rows are fewer bytes
+    small = min(LOCAL_ROWS, node_bytes * parts // (n_features + 32))
+    tree, aside = grow(sums_of, rules, number, features, 1, LOCAL_ROWS if parts == 1 else 0, rows, small)
     if not aside:
         return tree
 
@@ -375,6 +406,9 @@ class NewtonBoosting(Estimator):
         edges = bin_edges(rows, known["f"], rules.max_bin)
         n_bins = max(len(e) for e in edges) + 1
         parts = math.ceil(known["n"] * (known["f"] + 32) / BLOCK_BYTES)
+        if known["n"] > LOCAL_ROWS:
+            cores = spark.sparkContext.defaultParallelism
+            parts = max(parts, min(cores, math.ceil(known["n"] / BLOCK_ROWS)))
         blocks = _blocks(rows, edges, parts, start).persist(StorageLevel.MEMORY_AND_DISK)
         held, trees = [blocks], []
         for number in range(rules.rounds):
