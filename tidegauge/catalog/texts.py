@@ -496,7 +496,10 @@ SELECT "CustomerId", 20 AS baseline_age, 45 AS improved_age, "Tenure" % 2 = 0 AS
 )
 def comparison_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     """Two customers in one message: 'um com ... outro com ...'."""
-    raw = raw_customers(spark, folder)
+    # few narrow columns, dealt to all cores for the costly text work
+    raw = raw_customers(spark, folder).select("CustomerId", "Tenure", "NumOfProducts").repartition(
+        spark.sparkContext.defaultParallelism
+    )
     said = raw.select(
         "CustomerId",
         (F.col("Tenure") % 2 == 0).alias("same"),

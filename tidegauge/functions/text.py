@@ -210,7 +210,16 @@ def _first_of(text: Column, terms: dict[str, str]) -> Column:
 
 def extract_attributes(text: Column) -> dict[str, Column]:
     """Customer attributes named in a message; null where a message is silent."""
-    flat = F.lower(collapse_whitespace(text))
+    return flat_attributes(flat_message(text))
+
+
+def flat_message(text: Column) -> Column:
+    """A message in lower case with single spaces."""
+    return F.lower(collapse_whitespace(text))
+
+
+def flat_attributes(flat: Column) -> dict[str, Column]:
+    """Customer attributes named in a message from :func:`flat_message`, which each of them reads."""
     found = {}
     for name, (pattern, kind) in ATTRIBUTE_PATTERNS.items():
         raw = F.regexp_extract(flat, "(?U)" + pattern, 1)

@@ -255,8 +255,13 @@ def comparison_payloads(df: DataFrame, text: str) -> DataFrame:
     """
     first, second = tx.comparison_halves(F.col(text))
     halves = df.withColumns({"_first": first, "_second": second})
-    whole = tx.extract_attributes(F.col(text))
-    one, two = tx.extract_attributes(F.col("_first")), tx.extract_attributes(F.col("_second"))
+    parts = {"_whole": text, "_one": "_first", "_two": "_second"}
+    # each message is flattened once and each attribute read once, in columns of their own: many expressions name them
+    flat = halves.withColumns({name: tx.flat_message(F.col(source)) for name, source in parts.items()})
+    known = flat.withColumns(
+        {name: F.struct(*[c.alias(n) for n, c in tx.flat_attributes(F.col(name)).items()]) for name in parts}
+    )
+    whole, one, two = ({n: F.col(name)[n] for n in known.schema[name].dataType.names} for name in parts)
     inherits = tx.same_customer(F.col("_second"))
 
     def payload(pick) -> Column:
@@ -272,13 +277,13 @@ def comparison_payloads(df: DataFrame, text: str) -> DataFrame:
             return default
         return F.coalesce(two[name], F.when(inherits, one[name]), whole[name], default)
 
-    return halves.withColumns(
+    return known.withColumns(
         {
             "baseline": payload(baseline),
             "improved": F.when(F.col("_second").isNotNull(), payload(improved)),
             "description": tx.short_text(F.col(text), 180),
         }
-    ).drop("_first", "_second")
+    ).drop("_first", "_second", *parts)
 
 
 def compare_scenarios(rows: DataFrame) -> DataFrame:
