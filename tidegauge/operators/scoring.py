@@ -16,6 +16,7 @@ from tidegauge import schemas
 from tidegauge.functions import text as tx
 from tidegauge.functions.numeric import threshold_class
 from tidegauge.operators import boosting, contracts, featurestore
+from tidegauge.session import spread
 
 NEG_POS_RATIO = "__neg_pos_ratio__"
 
@@ -158,7 +159,8 @@ def train(
     params = {k: v for k, v in experiment.params.items() if k not in _WEIGHTS}
     count = df.count() if {"C", "penalty"} & set(params) else None
     classifier = build_classifier(experiment.algorithm, params, weight is not None, count, len(features))
-    return Pipeline(stages=[assembler, classifier]).fit(rows)
+    # a table of few files is read by as few tasks; the passes of a training over it use all cores
+    return Pipeline(stages=[assembler, classifier]).fit(spread(rows))
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -202,14 +202,17 @@ def with_versions(found: DataFrame, experiments: Sequence[scoring.Experiment]) -
     return found.withColumns({"model_version": of("version"), "algorithm": of("algorithm")})
 
 
-# Bytes of training rows in a partition, and experiments trained at once.
+# Bytes of training rows in a partition, rows that are worth one of their own, and experiments trained at once.
 _TRAIN_BYTES = 64 << 20
+_TRAIN_ROWS = 20_000
 SIDE_BY_SIDE = 8
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """As many partitions as the rows' bytes need, so that the many short jobs of a training have few tasks."""
-    parts = max(1, math.ceil(df.count() * len(df.columns) * 8 / _TRAIN_BYTES))
+    """As many partitions as the rows' bytes need, and all cores once rows are many: the many short jobs of a training
+    on few rows have few tasks, and no training on many rows leaves cores idle."""
+    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, math.ceil(rows * len(df.columns) * 8 / _TRAIN_BYTES), min(cores, rows // _TRAIN_ROWS))
     return df.coalesce(parts) if df.rdd.getNumPartitions() > parts else df.repartition(parts)
 
 
