@@ -152,10 +152,11 @@ def index_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Every chunk of the second snapshot, and whether its text was cut for it or taken over."""
     store, second = _two_commits(spark, folder)
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
-    return store.chunks().select(
-        "source", "chunk_id", "char_count", F.md5(F.col("text").cast("binary")).alias("digest"),
-        (F.col("part") == second["part"]).alias("embedded_again"), F.round(length, 6).alias("vector_length"),
-    )
+    shown = {
+        "char_count": F.col("char_count"), "digest": F.md5(F.col("text").cast("binary")),
+        "embedded_again": F.col("part") == second["part"], "vector_length": F.round(length, 6),
+    }
+    return store.chunks(values=shown).select("source", "chunk_id", *shown)
 
 
 @register(

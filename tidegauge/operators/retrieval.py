@@ -24,6 +24,8 @@ from tidegauge.operators.ranking import top_per_key
 CHUNK_SIZE, CHUNK_OVERLAP = 900, 150
 TOP_K, LEXICAL_WEIGHT, CANDIDATE_MULTIPLIER = 4, 0.15, 4
 CHUNK_OVERHEAD_BYTES = 24
+# Texts embedded at once, which bounds what a worker holds whatever the size of its batches.
+EMBED_ROWS = 1_000
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -165,7 +167,8 @@ def embed(text: Column, encoder: Encoder, normalize: bool = True) -> Column:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(_encoded(batch, encoder, normalize)))
+            for start in range(0, max(1, len(batch)), EMBED_ROWS):
+                yield pd.Series(list(_encoded(batch.iloc[start:start + EMBED_ROWS], encoder, normalize)))
 
     return run(text)
 

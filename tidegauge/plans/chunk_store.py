@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.operators import retrieval
 from tidegauge.sources import corpus
@@ -108,13 +108,21 @@ class ChunkStore(Published):
             "contents_cut": new.count(), "chunks_embedded": made.count(),
         }
 
-    def chunks(self, manifest: dict | None = None) -> DataFrame:
-        """The chunks of every source: ``(source, source_type, chunk_id, text, char_count, key, vector, part)``."""
+    def chunks(self, manifest: dict | None = None, values: dict[str, Column] | None = None) -> DataFrame:
+        """The chunks of every source: ``(source, source_type, chunk_id, text, char_count, key, vector, part)``.
+
+        With ``values`` these, made from a chunk's own columns, take the place of text, count, vector and part: they are
+        formed before chunks meet their sources, so that neither texts nor vectors are moved for them.
+        """
         chosen = manifest or self.manifest()
-        rows = self.sources(chosen).join(self.entries(chosen), "sha256").withColumnRenamed("path", "source")
-        return rows.withColumn("key", retrieval.chunk_key()).select(
-            "source", "source_type", "chunk_id", "text", "char_count", "key", "vector", "part"
-        )
+        entries = self.entries(chosen)
+        if values is not None:
+            entries = entries.select("sha256", "chunk_id", *[c.alias(n) for n, c in values.items()])
+        rows = self.sources(chosen).join(entries, "sha256").withColumnRenamed("path", "source")
+        found = rows.withColumn("key", retrieval.chunk_key())
+        if values is not None:
+            return found.select("source", "source_type", "chunk_id", "key", *values)
+        return found.select("source", "source_type", "chunk_id", "text", "char_count", "key", "vector", "part")
 
     def search(self, queries: DataFrame, **options) -> DataFrame:
         """Ranked contexts from the newest snapshot."""
