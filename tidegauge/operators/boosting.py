@@ -318,10 +318,11 @@ def _grow_tree(blocks: RDD, parts: int, rows: int, rules: Rules, number: int, n_
     return tree
 
 
-def bin_edges(rows: DataFrame, n_features: int, max_bin: int) -> list[np.ndarray]:
+def bin_edges(rows: DataFrame, n_features: int, max_bin: int, quantiles: int | None = None) -> list[np.ndarray]:
     """Thresholds between neighbouring bins of each feature: the least value, below which are the missing ones, and
-    midway between quantiles."""
-    shares = [k / max_bin for k in range(max_bin + 1)]
+    midway between quantiles, as many as bins if not told."""
+    parts = quantiles or max_bin
+    shares = [k / parts for k in range(parts + 1)]
     columns = [F.get("_x", k) for k in range(n_features)]
     kept = [F.when(~F.isnan(c), c) for c in columns]
     row = rows.agg(*[F.percentile_approx(c, shares, 100 * max_bin).alias(f"q{k}") for k, c in enumerate(kept)]).first()

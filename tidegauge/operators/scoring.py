@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,6 +16,7 @@ from tidegauge import schemas
 from tidegauge.functions import text as tx
 from tidegauge.functions.numeric import threshold_class
 from tidegauge.operators import boosting, contracts, featurestore
+from tidegauge.operators.forest import Forest
 from tidegauge.session import spread
 
 NEG_POS_RATIO = "__neg_pos_ratio__"
@@ -50,7 +51,7 @@ _DEFAULTS = {
     "gradient_boosting": boosting.Rules(rate=0.1, depth=3, newton=False, l2=0.0, least_hessian=0.0),
     "xgboost": boosting.Rules(),
 }
-_ESTIMATORS = {"random_forest": RandomForestClassifier, "logistic_regression": LogisticRegression}
+_ESTIMATORS = {"random_forest": Forest, "logistic_regression": LogisticRegression}
 _WEIGHTS = {"class_weight", "scale_pos_weight"}
 
 # Parameters that change how the original libraries run and not what they learn.
