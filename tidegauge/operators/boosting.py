@@ -2,8 +2,8 @@
 
 Features are cut into at most ``max_bin`` bins at quantiles. A tree is grown level by level from one sum of
 gradients and Hessians per node, feature and bin over all rows. Nodes whose rows are fewer bytes than their sums
-are set aside and finished each in one task that gets their rows, in one job for all of them, where that spares
-several levels; a node is split the same way in either. Rows are kept as cached blocks, as many as there are cores once
+are set aside, and so are nodes of few rows in a table that is moved sooner than jobs are started. They are finished
+each in one task that gets their rows, in one job for all of them, where that spares several levels; a node is split the same way in either. Rows are kept as cached blocks, as many as there are cores once
 rows are many, with their margins, which are brought forward by each
 tree and checkpointed every so many trees, so a lost executor costs those since then.
 
@@ -37,6 +37,10 @@ BLOCK_ROWS = 20_000
 BLOCK_BYTES = 64 << 20
 CHECKPOINT_TREES = 40
 SPARED_LEVELS = 4
+# Rows that are moved in less time than the jobs of ``SPARED_LEVELS`` levels take to start.
+MOVED_ROWS = 1_000_000
+# Rows of a block that are summed up at a time: what is worked out for them stays in a core's cache.
+_CHUNK_ROWS = 65_536
 # Bytes of sums that the driver adds up itself; more are added in tasks first.
 _ADDED_BYTES = 32 << 20
 # Up to so many splits, rows are placed split by split instead of row by row.
@@ -200,8 +204,14 @@ class Block:
         return kinds
 
     def after(self, tree: Tree) -> "Block":
-        values = np.array(tree.value)[tree.place(self.bins)]
-        return Block(self.bins, self.label, self.weight, self.draw, self.margin + values)
+        values = np.array(tree.value)
+        added = [values[tree.place(part.bins)] for part in self.chunks(_CHUNK_ROWS)]
+        return Block(self.bins, self.label, self.weight, self.draw, self.margin + np.concatenate(added))
+
+    def chunks(self, rows: int) -> Iterator["Block"]:
+        for first in range(0, len(self.label), rows):
+            part = slice(first, first + rows)
+            yield Block(self.bins[:, part], self.label[part], self.weight[part], self.draw[part], self.margin[part])
 
 
 def _draws(keys: np.ndarray, seed: int, number: int) -> np.ndarray:
@@ -279,12 +289,17 @@ def _grow_tree(blocks: RDD, parts: int, rows: int, rules: Rules, number: int, n_
         slots[nodes] = np.arange(len(nodes))
 
         def sums(block: Block) -> np.ndarray:
-            return histogram(block.bins, slots[tree.place(block.bins)], block.kinds(rules, number), len(nodes), n_bins)
+            total = None
+            for part in block.chunks(max(_CHUNK_ROWS, 4 * len(nodes) * n_bins)):
+                own = histogram(part.bins, slots[tree.place(part.bins)], part.kinds(rules, number), len(nodes), n_bins)
+                total = own if total is None else np.add(total, own, out=total)
+            return total
 
         return blocks.map(sums).treeReduce(np.add, 1 if parts * len(nodes) * node_bytes <= _ADDED_BYTES else 2)
 
-    # the sums of a node come from every block; below this number its rows are fewer bytes
-    small = min(LOCAL_ROWS, node_bytes * parts // (n_features + 32))
+    # the sums of a node come from every block; below this number its rows are fewer bytes, and few rows are moved sooner
+    # than jobs are started
+    small = LOCAL_ROWS if rows <= MOVED_ROWS else min(LOCAL_ROWS, node_bytes * parts // (n_features + 32))
     tree, aside = grow(sums_of, rules, number, features, 1, LOCAL_ROWS if parts == 1 else 0, rows, small)
     if not aside:
         return tree
@@ -312,7 +327,8 @@ def _grow_tree(blocks: RDD, parts: int, rows: int, rules: Rules, number: int, n_
 
         grown = shares.mapPartitions(alone)
     else:
-        grown = shares.groupByKey(min(parts, len(aside))).map(lambda x: finish(*x))  # at most LOCAL_ROWS rows a node
+        # at most LOCAL_ROWS rows a node; all cores, as this is most of a deep tree's work
+        grown = shares.groupByKey(min(max(parts, blocks.ctx.defaultParallelism), len(aside))).map(lambda x: finish(*x))
     for node, below in sorted(grown.collect(), key=lambda x: x[0]):  # at most one tree per node set aside
         tree.graft(node, below)
     return tree
@@ -371,12 +387,15 @@ def _matrix(lists: pa.Array, n: int) -> np.ndarray:
 
 
 class NewtonBoosting(Estimator):
-    """Estimator over a vector column; learns a :class:`NewtonBoostingModel`."""
+    """Estimator over a vector column; learns a :class:`NewtonBoostingModel`.
+
+    ``tasks`` is the number of cores to use, if not all.
+    """
 
-    def __init__(self, featuresCol: str, labelCol: str, rules: Rules, weightCol: str | None = None) -> None:
+    def __init__(self, featuresCol: str, labelCol: str, rules: Rules, weightCol: str | None = None, tasks: int | None = None) -> None:
         super().__init__()
         self.columns = (featuresCol, labelCol, weightCol)
-        self.rules = rules
+        self.rules, self.tasks = rules, tasks
 
     def getMaxIter(self) -> int:
         return self.rules.rounds
@@ -408,7 +427,7 @@ class NewtonBoosting(Estimator):
         n_bins = max(len(e) for e in edges) + 1
         parts = math.ceil(known["n"] * (known["f"] + 32) / BLOCK_BYTES)
         if known["n"] > LOCAL_ROWS:
-            cores = spark.sparkContext.defaultParallelism
+            cores = self.tasks or spark.sparkContext.defaultParallelism
             parts = max(parts, min(cores, math.ceil(known["n"] / BLOCK_ROWS)))
         blocks = _blocks(rows, edges, parts, start).persist(StorageLevel.MEMORY_AND_DISK)
         held, trees = [blocks], []

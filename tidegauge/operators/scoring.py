@@ -149,9 +149,10 @@ def class_weights(df: DataFrame, label: str, params: Mapping[str, object]) -> Co
 
 
 def train(
-    df: DataFrame, experiment: Experiment, features: Sequence[str] = schemas.FEATURES, label: str = schemas.TARGET
+    df: DataFrame, experiment: Experiment, features: Sequence[str] = schemas.FEATURES, label: str = schemas.TARGET,
+    tasks: int | None = None,
 ) -> PipelineModel:
-    """Fit one experiment on encoded rows."""
+    """Fit one experiment on encoded rows; a boosted model uses as many cores as ``tasks`` if told, else all."""
     weight = class_weights(df, label, experiment.params)
     rows = df.withColumn("_label", F.col(label).cast("double"))
     if weight is not None:
@@ -160,6 +161,8 @@ def train(
     params = {k: v for k, v in experiment.params.items() if k not in _WEIGHTS}
     count = df.count() if {"C", "penalty"} & set(params) else None
     classifier = build_classifier(experiment.algorithm, params, weight is not None, count, len(features))
+    if isinstance(classifier, boosting.NewtonBoosting):
+        classifier.tasks = tasks
     # a table of few files is read by as few tasks; the passes of a training over it use all cores
     return Pipeline(stages=[assembler, classifier]).fit(spread(rows))
 

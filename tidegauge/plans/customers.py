@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegauge import schemas
 from tidegauge.functions.dates import iso_with_offset
 from tidegauge.operators import (
+    boosting,
     cleaning,
     contracts,
     drift,
@@ -216,6 +217,22 @@ def sized(df: DataFrame) -> DataFrame:
     return df.coalesce(parts) if df.rdd.getNumPartitions() > parts else df.repartition(parts)
 
 
+def shared_cores(experiments: Sequence[scoring.Experiment], side_by_side: int, cores: int) -> dict[str, int]:
+    """Cores of each boosted experiment that is trained beside others, by its share of all levels to be grown.
+
+    Each level is a short job, most of which is the start of its tasks: trainings on few cores each grow more levels a
+    second than trainings that all spread over all cores.
+    """
+    levels = {}
+    for e in experiments:
+        built = scoring.build_classifier(e.algorithm, {k: v for k, v in e.params.items() if k not in ("class_weight", "scale_pos_weight")}, rows=1)
+        if isinstance(built, boosting.NewtonBoosting):
+            levels[e.name] = built.getMaxIter() * built.getMaxDepth()
+    if min(side_by_side, len(levels)) < 2:
+        return {name: cores for name in levels}
+    return {name: max(1, round(cores * own / sum(levels.values()))) for name, own in levels.items()}
+
+
 def sweep(
     train: DataFrame, test: DataFrame, experiments: Sequence[scoring.Experiment],
     features: Sequence[str] = schemas.FEATURES, label: str = schemas.TARGET, output: str | None = None,
@@ -231,10 +248,11 @@ def sweep(
     spark = train.sparkSession
     rows = sized(through_table(train, "train")).persist()
     held_out = through_table(test, "test")
+    tasks = shared_cores(experiments, side_by_side, spark.sparkContext.defaultParallelism)
 
     def one(experiment: scoring.Experiment) -> DataFrame:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", experiment.name)
-        model = scoring.train(rows, experiment, features, label)
+        model = scoring.train(rows, experiment, features, label, tasks.get(experiment.name))
         if output:
             model.write().overwrite().save(f"{output}/{experiment.name}")
         return score_test(model, held_out, experiment, features, label)
